@@ -8,6 +8,7 @@ of BM25 impacts that any twelve consecutive words of that item have, so each ite
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -67,7 +68,7 @@ class Index:
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == doc:
                 pivot += 1
             head = lists[: pivot + 1]
-            if sum(self._block(t, at, doc) for _, t, at in head) >= least and (lists[0][0] == doc or True):
+            if sum(self._block(t, at, doc) for _, t, at in head) >= least:
                 score = 0.0
                 for c in head:
                     p, at = post[c[1]], c[2]
@@ -110,31 +111,27 @@ class Index:
         return p[b * BLOCK][0] if b * BLOCK < len(p) else len(self.ids)
 
     def search(self, text: str) -> set[int]:
-        """Ids of the items of which the text has ``run`` consecutive words."""
+        """Ids of the items of which the text has ``run`` consecutive words.
+
+        A passage is up to twice ``run`` consecutive words that the index knows; passages overlap by ``run``.
+        """
         get, run, most, found = self.vocabulary.get, self.run, self.most, set()
         ids = [get(w, -1) for w in words(text)]
-        n = len(ids)
-        if n < run:
-            return found
-        ceiling, total = [0.0], 0.0
-        for t in ids:
-            if t >= 0:
-                total += most[t]
-            ceiling.append(total)
-        for start in range(0, max(1, n - run + 1), run):
-            stop = min(n, start + 2 * run)
-            if ceiling[stop] - ceiling[start] < self.threshold:
-                continue
-            passage = ids[start:stop]
-            terms = set(passage)
-            terms.discard(-1)
-            if sum(most[t] for t in terms) < self.threshold:
-                continue
-            if hits := [d for d in self.wand(terms) if self.ids[d] not in found]:
-                grams = {tuple(passage[i : i + run]) for i in range(len(passage) - run + 1)}
-                found.update(self.ids[d] for d in hits if not grams.isdisjoint(self.grams[d]))
+        for m in self.known(bytes([t >= 0 for t in ids])):
+            for start in range(m.start(), m.end() - run + 1, run):
+                passage = ids[start : min(m.end(), start + 2 * run)]
+                terms = set(passage)
+                if sum(most[t] for t in terms) < self.threshold:
+                    continue
+                if hits := [d for d in self.wand(terms) if self.ids[d] not in found]:
+                    grams = {tuple(passage[i : i + run]) for i in range(len(passage) - run + 1)}
+                    found.update(self.ids[d] for d in hits if not grams.isdisjoint(self.grams[d]))
         return found
 
+    def known(self, flags: bytes):
+        """Stretches of ``run`` or more words that all are in the index: a leak can't be anywhere else."""
+        return re.finditer(b"\x01{%d,}" % self.run, flags)
+
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
