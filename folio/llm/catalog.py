@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, leaks, lookalike, multiset
+from folio.llm import bpe, langid, leaks, lookalike, multiset, pieces, sentences
 from folio.sources import load, reading_text, spread
 
 
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
+    blocks = load(spark, d, "blocks").select("block_id", F.col("text_override").alias("text"))
+    return pieces.split_oversized(blocks.where(F.length("text") > 2500))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _oversized(spark, d).select("block_id", "cut")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    cols = F.posexplode("pieces").alias("piece_no", "p")
+    return _oversized(spark, d).select("block_id", "cut", cols).select("block_id", "cut", "piece_no", "p.start", "p.piece")
+
+
 def _readings(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "blocks").select("block_id", reading_text().alias("text"))
 
@@ -23,6 +37,13 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(_readings(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    papers = load(spark, d, "papers").where("mode = 'raw'").select("doc_id", "lang")
+    blocks = load(spark, d, "blocks").where("type = 'paragraph' AND text_override IS NOT NULL")
+    raw = blocks.select("doc_id", "block_id", F.col("text_override").alias("text")).join(papers, "doc_id")
+    return sentences.sentence_starts(raw.select("block_id", "lang", "text"))
+
+
 def _recurring(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "blocks").where(F.col("type").isin("paragraph", "list", "metadata"))
 
@@ -43,8 +64,31 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(spread(load(spark, d, "documents").select("doc_id", "text")), load(spark, d, "benchmark"))
 
 
+def _model(spark: SparkSession, d: str) -> langid.Model:
+    return langid.train(load(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "lang", "text")
+    return langid.unnamed_languages(spread(docs), _model(spark, d))
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(load(spark, d, "documents").select("doc_id", "text"))
+    return langid.identify(docs, _model(spark, d)).select("doc_id", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+def p10_passages(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(load(spark, d, "documents").select("doc_id", "text"))
+    found = langid.identify(docs, _model(spark, d)).select("doc_id", F.explode("passages").alias("p"))
+    return found.select("doc_id", "p.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [p4_found, p4_canonical, p6_found, p6_counts, p8_ids, p9_found]
+    made = [
+        p2_found, p2_pieces, p4_found, p4_canonical, p5_found, p6_found, p6_counts, p8_ids, p9_found, p10_found, p10_languages,
+        p10_passages,
+    ]
     return {f.__name__: f for f in made}
 
 
