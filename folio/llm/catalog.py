@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, langid, leaks, lookalike, multiset, pieces, sentences
+from folio.llm import bpe, defects, langid, leaks, lookalike, multiset, pieces, sentences
 from folio.sources import load, reading_text, spread
 
 
@@ -25,6 +25,21 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _oversized(spark, d).select("block_id", "cut", cols).select("block_id", "cut", "piece_no", "p.start", "p.piece")
 
 
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    papers = load(spark, d, "papers").select("doc_id", F.col("lang").alias("source_lang"), "target_lang")
+    blocks = load(spark, d, "blocks").where("translation IS NOT NULL")
+    pairs = blocks.select("doc_id", "block_id", reading_text().alias("source"), F.col("translation").alias("target"))
+    return defects.find_defects(spread(pairs.join(papers, "doc_id", "left").drop("doc_id")), _model(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).select("block_id", F.element_at("defects", 1).alias("defect"))
+
+
+def p3_defects(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).select("block_id", F.explode("defects").alias("defect"))
+
+
 def _readings(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "blocks").select("block_id", reading_text().alias("text"))
 
@@ -86,7 +101,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
-        p2_found, p2_pieces, p4_found, p4_canonical, p5_found, p6_found, p6_counts, p8_ids, p9_found, p10_found, p10_languages,
+        p2_found, p2_pieces, p3_found, p3_defects, p4_found, p4_canonical, p5_found, p6_found, p6_counts, p8_ids, p9_found, p10_found, p10_languages,
         p10_passages,
     ]
     return {f.__name__: f for f in made}

@@ -226,7 +226,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 SCRIPTS = {"ru": "[Ѐ-ӿ]", "uk": "[Ѐ-ӿ]", "th": "[฀-๿]", "zh": "[㐀-鿿]", "ja": "[぀-ヿ]"}
 
 
-def _in_script(lang: str, line: str) -> bool:
+def in_script(lang: str, line: str) -> bool:
     """Whether a line has a fair share of letters of the language's script (Japanese: of kana)."""
     letters = sum(map(str.isalpha, line)) or 1
     own = len(re.findall(SCRIPTS.get(lang, r"[A-Za-zÀ-ɏ]"), line))
@@ -237,7 +237,7 @@ def _in_script(lang: str, line: str) -> bool:
 
 def fit(labelled: list[tuple[str, str]]) -> Model:
     """Two rounds over (language, line): lines of another script, then lines nearer to another language, are left out."""
-    lines = [(lang, units(x)) for lang, x in labelled if _in_script(lang, x)]
+    lines = [(lang, units(x)) for lang, x in labelled if in_script(lang, x)]
 
     def grow(chosen, order):
         texts: dict[str, Counter] = defaultdict(Counter)
