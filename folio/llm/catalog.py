@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, defects, langid, leaks, lookalike, multiset, pieces, sentences
+from folio.llm import bpe, defects, langid, leaks, lookalike, multiset, pieces, scans, sentences
 from folio.sources import load, reading_text, spread
 
 
@@ -71,6 +71,20 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return multiset.copy_counts(_recurring(spark, d))
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    papers = load(spark, d, "papers").where("mode = 'scan'").select("doc_id", "lang")
+    blocks = load(spark, d, "blocks").where("lines IS NOT NULL").select("doc_id", "page_num", "block_pos", "block_id", "lines")
+    return blocks.join(papers, "doc_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.find_noise(_scanned(spark, d))
+
+
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(_scanned(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(spread(load(spark, d, "documents").select("doc_id", "text")))
 
@@ -101,7 +115,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
-        p2_found, p2_pieces, p3_found, p3_defects, p4_found, p4_canonical, p5_found, p6_found, p6_counts, p8_ids, p9_found, p10_found, p10_languages,
+        p2_found, p2_pieces, p3_found, p3_defects, p4_found, p4_canonical, p5_found, p6_found, p6_counts, p7_found, p7_paragraphs, p8_ids, p9_found, p10_found, p10_languages,
         p10_passages,
     ]
     return {f.__name__: f for f in made}
