@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, defects, langid, leaks, lookalike, multiset, pieces, scans, sentences
+from folio.llm import alignment, bpe, defects, langid, leaks, lookalike, multiset, pieces, scans, sentences
 from folio.sources import load, reading_text, spread
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    papers = load(spark, d, "papers").where("mode = 'parallel'").select("doc_id", F.concat_ws(">", "lang", "target_lang").alias("pair"))
+    blocks = load(spark, d, "blocks").where("type = 'paragraph' AND translation IS NOT NULL AND text_override IS NOT NULL")
+    both = blocks.select("doc_id", "block_id", F.col("text_override").alias("source"), F.col("translation").alias("target"))
+    pairs = spread(both.join(papers, "doc_id").drop("doc_id"))
+    return alignment.align(pairs, alignment.learn_concepts(pairs))
+
+
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     blocks = load(spark, d, "blocks").select("block_id", F.col("text_override").alias("text"))
     return pieces.split_oversized(blocks.where(F.length("text") > 2500))
@@ -115,7 +123,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
-        p2_found, p2_pieces, p3_found, p3_defects, p4_found, p4_canonical, p5_found, p6_found, p6_counts, p7_found, p7_paragraphs, p8_ids, p9_found, p10_found, p10_languages,
+        p1_found, p2_found, p2_pieces, p3_found, p3_defects, p4_found, p4_canonical, p5_found, p6_found, p6_counts, p7_found, p7_paragraphs, p8_ids, p9_found, p10_found, p10_languages,
         p10_passages,
     ]
     return {f.__name__: f for f in made}
