@@ -249,7 +249,7 @@ def learn(df: DataFrame, found: DataFrame, text: str = "text", lang: str = "lang
     )
     types = typed.groupBy("lang", "type").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.count_if("dot").cast("double").alias("dots")
-    )
+    ).persist()
     totals = types.groupBy("lang").agg(F.sum("n").alias("all"), F.sum("dots").alias("all_dots"))
     types = types.join(F.broadcast(totals), "lang")  # one row for each language
     # Abbreviations: nearly always with a period, short, with inner periods, weighed down by uses without one.
@@ -300,8 +300,8 @@ def sentence_starts(df: DataFrame, key: str = "block_id", text: str = "text", la
     A period after an abbreviation or an initial ends a sentence only before a sentence starter (or an
     opening mark); a period inside a collocation doesn't, unless its second word is a starter.
     """
-    found = _candidates(df, key, text, lang)
-    model = learn(df, found, text, lang)
+    found = _candidates(df, key, text, lang).persist()
+    model = {name: table.persist() for name, table in learn(df, found, text, lang).items()}
     flag = lambda name, col: model[name].withColumn(col, F.lit(True))
     judged = (
         found.where("NOT sure").join(flag("abbreviations", "abbr"), ["lang", "before"], "left")
