@@ -120,10 +120,6 @@ def keeps_hyphen(prefix: Column, following: Column, words: Column | None = None)
     lw = F.when(last_word(left) != "", last_word(left)).otherwise(left)
     rw = F.when(first_word(right) != "", first_word(right)).otherwise(right)
     head = F.substring(right, F.lit(1), one)
-    known = F.lit(None).cast("boolean")
-    if words is not None:
-        has = lambda x: F.array_contains(words, F.lower(x))
-        known = F.when(has(F.concat(lw, rw)), False).when(has(lw) & has(rw), True)
     return (
         F.when((F.coalesce(prefix, F.lit("")) == "") | (F.coalesce(following, F.lit("")) == ""), True)
         .when(hyphen.isNull(), False)
@@ -132,13 +128,23 @@ def keeps_hyphen(prefix: Column, following: Column, words: Column | None = None)
         .when(left.rlike(r"\d$") | right.rlike(r"^\d"), True)
         .when(F.instr(F.lit(PUNCTUATION), head) > 0, True)
         .when(~(left.rlike(r"\p{L}$") & right.rlike(r"^\p{L}")), True)
-        .when(left.rlike(MARKINGS), True)
+        .otherwise(is_compound(left, lw, rw, words))
+    )
+
+
+def is_compound(left: Column, lw: Column, rw: Column, words: Column | None = None) -> Column:
+    """The tests of P09 on words alone: markings, single letters, known words, prefixes, function words, capitals."""
+    known = F.lit(None).cast("boolean")
+    if words is not None:
+        has = lambda x: F.array_contains(words, F.lower(x))
+        known = F.when(has(F.concat(lw, rw)), False).when(has(lw) & has(rw), True)
+    return (
+        F.when(left.rlike(MARKINGS), True)
         .when((F.length(lw) <= 1) | (F.length(rw) <= 1), True)
         .when(known.isNotNull(), known)
         .when(F.lower(lw).isin(PREFIXES), True)
         .when(F.lower(rw).isin(TAILS), True)
-        .when(rw.rlike(r"^\p{Lu}"), True)
-        .otherwise(False)
+        .otherwise(rw.rlike(r"^\p{Lu}"))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import geometry as G
 from folio.functions import predicates as P
-from folio.functions.text import HYPHENS, first_word, join_lines, keeps_hyphen, last_word, line_text, lstrip, rstrip, text_quality
+from folio.functions.text import HYPHENS, first_word, is_compound, join_lines, last_word, line_text, lstrip, rstrip, text_quality
 
 
 def line_rows(blocks: DataFrame) -> DataFrame:
@@ -77,19 +77,20 @@ def hyphen_joins(blocks: DataFrame, words: Column | None = None) -> DataFrame:
     b = blocks.select("doc_id", "page_num", "block_id", "block_pos", "bbox", F.size("lines").alias("n"), "font_size", "text")
     for c in ("block_id", "bbox", "n", "font_size", "text"):
         b = b.withColumn(f"next_{c}", F.lead(c).over(w))
-    at, bt = rstrip(F.col("text")), lstrip(F.col("next_text"))
+    b = b.withColumns({"_at": rstrip(F.col("text")), "_bt": lstrip(F.col("next_text"))})
+    at, bt = F.col("_at"), F.col("_bt")
     hyphen = F.instr(F.lit(HYPHENS), F.right(at, F.lit(1))) > 0
-    base = rstrip(F.substring(at, F.lit(1), F.length(at) - 1))
-    lw = F.when(last_word(base) != "", last_word(base)).otherwise(base)
-    rw = F.when(first_word(bt) != "", first_word(bt)).otherwise(bt)
+    b = b.where((at != "") & hyphen & bt.rlike(r"^\p{Ll}")).withColumn("_base", rstrip(F.substring(at, F.lit(1), F.length(at) - 1)))
+    base = F.col("_base")
+    b = b.withColumns({"_lw": last_word(base), "_rw": first_word(bt)})
+    lw, rw = F.when(F.col("_lw") != "", F.col("_lw")).otherwise(base), F.when(F.col("_rw") != "", F.col("_rw")).otherwise(bt)
     line = F.greatest(F.lit(1.0), (F.col("bbox.y1") - F.col("bbox.y0")) / F.greatest(F.lit(1), F.col("n")))
     gap = F.col("next_bbox.y0") - F.col("bbox.y1")
     wide = F.greatest(F.lit(1.0), F.least(F.col("bbox.x1") - F.col("bbox.x0"), F.col("next_bbox.x1") - F.col("next_bbox.x0")))
     aside = G.x_overlap(F.col("bbox"), F.col("next_bbox")) < wide * 0.3
     near = F.when(aside, F.col("next_bbox.y0") < F.col("bbox.y0") - line * 2).otherwise(gap.between(F.lit(-2.0), line * 2.5))
     joins = (
-        (at != "") & hyphen & base.rlike(r"\p{L}$") & bt.rlike(r"^\p{Ll}") & ~P.is_caption(at) & ~P.is_caption(bt)
-        & ~keeps_hyphen(F.concat(lw, F.lit("-")), rw, words) & near & (F.abs(F.col("font_size") - F.col("next_font_size")) <= 1.5)
+        base.rlike(r"\p{L}$") & ~P.is_caption(at) & ~P.is_caption(bt) & ~is_compound(lw, lw, rw, words) & near & (F.abs(F.col("font_size") - F.col("next_font_size")) <= 1.5)
         & (F.col("n") > 0) & (F.col("next_n") > 0)
     )
     return b.where(joins).select("doc_id", "page_num", "block_id", F.col("next_block_id").alias("next_id"), F.concat(base, bt).alias("joined"))

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What is protected, in order of precedence. A later kind never matches inside an earlier one.
 _SURNAME = r"[A-ZА-Я][A-Za-zА-Яа-я'’\-]+"
@@ -26,7 +27,8 @@ KINDS: tuple[tuple[str, str], ...] = (
 _COMPILED = [(k, re.compile(p, re.IGNORECASE | re.DOTALL)) for k, p in KINDS]
 _TAGS = re.compile(r"</?(?:b|i|u|em|strong|small|sub|sup|span|font)[^>]*>", re.IGNORECASE)
 _PLAIN = re.compile(r"[A-Za-z]{1,20}")
-SCHEMA = "struct<masked:string,tokens:array<struct<token:string,value:string>>>"
+_TOKEN = T.StructType([T.StructField("token", T.StringType()), T.StructField("value", T.StringType())])
+SCHEMA = T.StructType([T.StructField("masked", T.StringType()), T.StructField("tokens", T.ArrayType(_TOKEN))])
 
 
 def mask_text(text: str) -> tuple[str, list[tuple[str, str]]]:

@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions import predicates as P
 from folio.functions.text import normalize_text, split_by_paragraphs, split_sentences
@@ -172,7 +173,7 @@ def translate_chunks(rows: DataFrame, name: str, fallback: bool = False, attempt
     make = backend(name)[1 if fallback else 0]
     if make is None:
         return rows.withColumn("answer", F.lit(None).cast("string"))
-    schema = rows.schema.add("answer", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType())])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = make()
