@@ -28,14 +28,14 @@ SHORT, HEADING = 25, 40
 
 # Openings, inabilities and objects of refusals.
 OPENINGS = (
-    "i'm sorry|i am sorry|sorry,|unfortunately|as an ai|as a language model|i apologi[sz]e|извините|к сожалению|как языковая модель|простите|"
+    "i'm sorry|i am sorry|sorry,|unfortunately|as an ai|as a language model|i apologise|i apologize|извините|к сожалению|как языковая модель|простите|"
     "leider|es tut mir leid|als ki|als sprachmodell|désolé|malheureusement|en tant que modèle|en tant qu'ia|je regrette|lo siento|lamentablemente|"
     "como modelo de lenguaje|como ia|desafortunadamente|mi dispiace|purtroppo|sinto muito|infelizmente|на жаль|вибачте|抱歉|对不起|很遗憾|作为|"
     "申し訳|残念ながら|ขออภัย|เสียใจ"
 )
 INABILITIES = (
     "cannot|can't|can not|unable|not able|won't be able|must be declined|must decline|no answer will be given|declined|refuse|"
-    "не могу|не в состоянии|отклон[её]н|вынужден|отказ|не будет дано|не смогу|kann ich|ich kann|nicht in der lage|muss ich|ablehnen|abgelehnt|"
+    "не могу|не в состоянии|отклонен|отклонён|вынужден|отказ|не будет дано|не смогу|kann ich|ich kann|nicht in der lage|muss ich|ablehnen|abgelehnt|"
     "verweiger|ne peux pas|ne suis pas en mesure|dois refuser|dois décliner|refus|décliner|impossible|no puedo|no me es posible|no estoy en condiciones|"
     "rechazar|debo|declinar|denegad|rechazad|non posso|devo rifiutare|não posso|recusar|не можу|无法|不能|拒绝|できません|お断り|ไม่สามารถ"
 )
@@ -45,7 +45,7 @@ OBJECTS = (
     "diese anfrage|übersetz|regeln|kontext|ce passage|ce texte|cette demande|cette requête|tradui|règles|contexte|este pasaje|este texto|"
     "esta solicitud|traduc|normas|reglas|contexto|questo testo|questo brano|este trecho|цей текст|цей запит|翻译|文本|请求|规则|翻訳|この文|ข้อความ|แปล"
 )
-_OPEN, _CANT, _THIS = (re.compile(x, re.IGNORECASE) for x in (OPENINGS, INABILITIES, OBJECTS))
+_OPEN, _CANT, _THIS = (tuple(x.split("|")) for x in (OPENINGS, INABILITIES, OBJECTS))
 _QUOTED = re.compile(r"“[^”]*”|„[^“]*“|«[^»]*»|「[^」]*」|\"[^\"]*\"")
 #: What a log in the texts says about itself; no refusal.
 _REPORTED = re.compile(
@@ -58,6 +58,10 @@ _ALNUM = re.compile(r"[\W_]+")
 _TAIL = re.compile(r"([^\W\d_%]+|[%°])[\W\d_]*$")
 
 
+def _any(parts: tuple[str, ...], text: str) -> bool:
+    return any(p in text for p in parts)
+
+
 def _squeezed(text: str) -> str:
     return _ALNUM.sub("", fold(text))
 
@@ -73,30 +77,33 @@ def votes(source: str, target: str, target_lang: str | None, model: Model) -> di
     out["e_core"] = 1 if not any(map(str.isalnum, core)) else 0
 
     # refusal
-    spoken = _REPORTED.sub(" ", _QUOTED.sub(" ", target))
-    opening, cant, this = bool(_OPEN.search(spoken)), bool(_CANT.search(spoken)), bool(_THIS.search(spoken))
-    out["r_two"] = 1 if opening + cant + this >= 2 and (cant or opening) else 0
-    out["r_cant"] = 1 if cant and this else (0 if not cant else -1)
-    sentences = [x for x in re.split(r"(?<=[.!?。])\s+", spoken) if x.strip()]
-    own = [x for x in sentences if (_CANT.search(x) or _OPEN.search(x)) and not any(map(str.isdigit, x)) and len(x) < 260]
-    out["r_own"] = 1 if any(bool(_OPEN.search(x)) + bool(_CANT.search(x)) + bool(_THIS.search(x)) >= 2 for x in own) else 0
-    out["r_short"] = 1 if own and len(target) < 0.8 * len(source) else (0 if not own else -1)
+    low = target.lower()
+    if _any(_CANT, low) or _any(_OPEN, low):
+        spoken = _REPORTED.sub(" ", _QUOTED.sub(" ", low))
+        opening, cant, this = _any(_OPEN, spoken), _any(_CANT, spoken), _any(_THIS, spoken)
+        out["r_two"] = 1 if opening + cant + this >= 2 and (cant or opening) else 0
+        out["r_cant"] = 1 if cant and this else (0 if not cant else -1)
+        sentences = [x for x in re.split(r"(?<=[.!?。])\s+", spoken) if x.strip() and len(x) < 260 and not any(map(str.isdigit, x))]
+        own = [x for x in sentences if _any(_CANT, x) or _any(_OPEN, x)]
+        out["r_own"] = 1 if any(_any(_OPEN, x) + _any(_CANT, x) + _any(_THIS, x) >= 2 for x in own) else 0
+        out["r_short"] = 1 if own and len(target) < 0.8 * len(source) else (0 if not own else -1)
+    else:
+        out["r_two"] = out["r_cant"] = out["r_own"] = out["r_short"] = 0
 
     # copy
-    s, t = _squeezed(source), _squeezed(target)
-    enough = len(source) >= COPY_CHARS and len(s) >= 12
-    out["c_whole"] = (1 if s in t else 0) if enough else 0
-    if enough:
-        w = fold(source).split()
-        have = set(fold(target).split())
-        share = sum(x in have for x in w) / max(1, len(w))
-        out["c_words"] = 1 if share > 0.9 else (0 if share < 0.6 else -1)
-        k = max(1, len(s) // 8)
-        parts = [s[i : i + 12] for i in range(0, max(1, len(s) - 11), k)]
-        share = sum(p in t for p in parts) / len(parts)
-        out["c_parts"] = 1 if share > 0.95 else 0
-    else:
-        out["c_words"] = out["c_parts"] = 0
+    out["c_whole"] = out["c_words"] = out["c_parts"] = 0
+    if len(source) >= COPY_CHARS and len(target) >= 0.5 * len(source):
+        s = _squeezed(source)
+        if len(s) >= 12:
+            t = _squeezed(target)
+            out["c_whole"] = int(s in t)
+            parts = [s[i : i + 12] for i in range(0, max(1, len(s) - 11), max(1, len(s) // 8))]
+            share = sum(p in t for p in parts) / len(parts)
+            out["c_parts"] = 1 if share > 0.95 else 0
+            if share > 0.3:
+                w, have = fold(source).split(), set(fold(target).split())
+                common = sum(x in have for x in w) / max(1, len(w))
+                out["c_words"] = 1 if common > 0.9 else (0 if common < 0.6 else -1)
 
     # language
     n = sum(map(str.isalpha, target))
@@ -112,8 +119,10 @@ def votes(source: str, target: str, target_lang: str | None, model: Model) -> di
         margin = float(bits[j] - bits.min())
         out["w_whole"] = int(lang != target_lang)
         out["w_margin"] = 1 if margin > max(12.0, 0.15 * n) else (0 if margin < 6.0 else -1)
-        found = passages(model, target)
-        if found and sum(f[1] - f[0] for f in found) > 0.4 * len(target):
+        found = passages(model, target) if lang != target_lang else []
+        if lang == target_lang:
+            out["w_sentences"] = 0
+        elif found and sum(f[1] - f[0] for f in found) > 0.4 * len(target):
             out["w_sentences"] = int(all(f[2] != target_lang for f in found))
         else:
             out["w_sentences"] = -1
@@ -210,12 +219,12 @@ def pair_votes(
     t = df.where(F.col(target).isNotNull())
     pair = F.concat_ws(">", F.coalesce(F.col(source_lang), F.lit("")), F.coalesce(F.col(target_lang), F.lit("")))
     schema = f"`{key}` {kind}, pair string, `{target_lang}` string, " + ", ".join(f"{f} {k}" for f, k in fields)
-    first = t.select(key, pair.alias("pair"), source, target, target_lang).mapInArrow(run, schema)
+    first = t.select(key, pair.alias("pair"), source, target, target_lang).mapInArrow(run, schema).persist()
     # Words of each target language: how often a sentence ends with them (combined before they are shuffled).
-    low = F.lower(F.col(target))
-    words = t.select(F.col(target_lang).alias("l"), F.explode(F.regexp_extract_all(low, F.lit(r"(\p{L}+|%|°)"), F.lit(1))).alias("w"), F.lit(0).alias("e"))
-    ends = t.select(F.col(target_lang).alias("l"), F.explode(F.regexp_extract_all(low, F.lit(r"(\p{L}+|%|°)[)\]\d]*\s?[.!?。]"), F.lit(1))).alias("w"), F.lit(1).alias("e"))
-    lexicon = words.unionAll(ends).groupBy("l", "w").agg(F.count_if(F.col("e") == 0).alias("n"), F.sum("e").alias("ends"))
+    parts = F.split(F.regexp_replace(F.lower(F.col(target)), r"\s+([.!?])", "$1"), r"[^\p{L}\p{M}%°.!?。]+")
+    words = t.select(F.col(target_lang).alias("l"), F.explode(parts).alias("w"))
+    words = words.select("l", F.col("w").rlike(r"[.!?。]$").alias("e"), F.regexp_replace("w", r"^[.!?]+|[.!?。]+$", "").alias("w")).where("w <> ''")
+    lexicon = words.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"), F.count_if("e").alias("ends"))
     usual = first.where("ratio IS NOT NULL").groupBy("pair").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"))
     joined = first.join(
         lexicon, (F.col("last_word") == lexicon["w"]) & F.col(target_lang).eqNullSafe(lexicon["l"]), "left"
