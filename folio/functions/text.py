@@ -221,10 +221,14 @@ def words_of(c: Column) -> Column:
 
 def repetition_ratio(c: Column, n: int = 6) -> Column:
     """Share of word n-grams that are repetitions; 0 below 2n words."""
-    words = words_of(c)
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    ratio = (F.size(grams) - F.size(F.array_distinct(grams))) / F.size(grams)
-    return F.when(F.size(words) >= 2 * n, ratio).otherwise(0.0)
+
+    def ratio(words: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        shares = F.transform(F.array(grams), lambda g: (F.size(g) - F.size(F.array_distinct(g))) / F.size(g))
+        return F.when(F.size(words) >= 2 * n, F.element_at(shares, 1)).otherwise(0.0)
+
+    # Bound as elements of arrays, so that words and grams are made once and not for every use of them.
+    return F.element_at(F.transform(F.array(words_of(c)), ratio), 1)
 
 
 def strip_wrappers(c: Column) -> Column:
