@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import alignment, bpe, defects, langid, leaks, lookalike, multiset, pieces, scans, sentences
+from folio.llm import alignment, bpe, defects, glyphs, langid, leaks, lookalike, multiset, pieces, scans, sentences
 from folio.sources import load, reading_text, spread
 
 
@@ -129,5 +129,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
+_READINGS = (
+    "coalesce(text_override, trim(array_to_string(flatten(list_transform(lines, lambda l: list_transform(l.spans, lambda s: s.text))), ' ')))"
+)
+_FROM, _TO = "".join(glyphs.ONE_TO_ONE) + glyphs.REMOVED, "".join(glyphs.ONE_TO_ONE.values())
+
+
+def _look_sql(text: str) -> str:
+    quote = lambda x: x.replace("'", "''")
+    out = f"translate({text}, '{quote(_FROM)}', '{quote(_TO)}')"
+    for ligature, plain in glyphs.LIGATURES.items():
+        out = f"replace({out}, '{ligature}', '{plain}')"
+    return f"nfc_normalize({out})"
+
+
+_PLAIN = "regexp_replace(replace(lower({0}), 'ß', 'ss'), '[\\s\\p{{Z}}\\p{{P}}\\p{{Cc}}|=<>`~^¦]+', '', 'g')"
+_COPIES = f"""WITH t AS (SELECT block_id, {_PLAIN.format("translation")} AS tr, list_sort(list_filter(list_transform(
+    CASE WHEN type = 'metadata' THEN regexp_split_to_array(text_override, '[;|\n\r\t]+') ELSE [text_override] END,
+    lambda x: {_PLAIN.format("x")}), lambda x: x <> '')) AS f
+  FROM blocks WHERE type IN ('paragraph', 'list', 'metadata') AND text_override IS NOT NULL),
+g AS (SELECT block_id, min(block_id) OVER (PARTITION BY f, tr) AS first_id FROM t)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": f"""WITH r AS (SELECT block_id, {_READINGS} AS t FROM blocks), l AS (SELECT block_id, t, {_look_sql("t")} AS k FROM r WHERE t IS NOT NULL)
+            SELECT least(a.block_id, b.block_id) AS block_a, greatest(a.block_id, b.block_id) AS block_b FROM l a JOIN l b ON a.k = b.k AND a.t < b.t""",
+        "p6_found": f"{_COPIES} SELECT first_id, block_id FROM g WHERE block_id <> first_id",
+        "p6_counts": f"{_COPIES} SELECT first_id, count(*)::BIGINT AS copies FROM g GROUP BY first_id HAVING count(*) > 1",
+    }
