@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.glyphs import look
+from folio.sources.lineage import cut
 
 # Glyphs that are read for one another (single ones first, then pairs read as one).
 SINGLE = {"e": "c", "f": "t", "i": "l", "1": "l", "0": "o", "5": "s", "b": "h", "9": "g", "н": "и", "п": "и", "л": "и", "щ": "ш", "8": "в", "6": "б", "3": "з"}
@@ -99,10 +100,9 @@ def running(lines: DataFrame, noise: DataFrame) -> DataFrame:
     """Lines of running text, each with the line that follows it in the paper (``after``), over page borders as well."""
     text = lines.join(noise, ["block_id", "line_no"], "left_anti")
     page = Window.partitionBy("doc_id", "page_num").orderBy("top")
-    text = text.withColumn("after", F.lead("line").over(page)).withColumn("first", F.row_number().over(page) == 1)
-    opening = text.where("first").select("doc_id", (F.col("page_num") - 1).alias("page_num"), F.col("line").alias("next_page"))
-    text = text.join(opening, ["doc_id", "page_num"], "left")
-    return text.withColumn("after", F.coalesce("after", "next_page")).drop("next_page", "first")
+    opening = text.groupBy("doc_id", (F.col("page_num") - 1).alias("page_num")).agg(F.min_by("line", "top").alias("next_page"))
+    text = text.withColumn("after", F.lead("line").over(page)).join(opening, ["doc_id", "page_num"], "left")
+    return text.withColumn("after", F.coalesce("after", "next_page")).drop("next_page")
 
 
 def _parts(token: Column) -> Column:
@@ -126,27 +126,29 @@ _CYRILLIC = r"lang IN ('ru', 'uk') OR form rlike '[бвгджзийклмнпт
 
 
 def misread(words: DataFrame) -> DataFrame:
-    """``lang, form, right``: misread forms and the form they stand for (NULL where none is known)."""
+    """``lang, form, right``: misread forms and the form they stand for (NULL where none is known).
+
+    A window holds the forms of one skeleton of a language. The right form must be supported by context: seen
+    beside a word that the misread form is beside, on the same side.
+    """
     counts = words.groupBy("lang", "form").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("skeleton", skeleton(F.col("form"), F.expr(_CYRILLIC)))
-    best = counts.where(rf"NOT form rlike '[{MISREAD_DIGITS}]'").groupBy("lang", "skeleton").agg(
-        F.max_by("form", F.struct("n", "form")).alias("right"), F.max("n").alias("most")
-    )
-    joined = counts.join(best, ["lang", "skeleton"], "left")
-    digit = F.col("form").rlike(rf"^\p{{Ll}}*[{MISREAD_DIGITS}]\p{{Ll}}*$") & (F.length("form") >= 3) & ~F.col("form").rlike(r"^.\d$|^\d.$")
+    group = Window.partitionBy("lang", "skeleton")
+    clean = ~F.col("form").rlike(rf"[{MISREAD_DIGITS}]")
+    best = F.max(F.when(clean, F.struct("n", "form"))).over(group)
+    joined = counts.withColumn("best", best).select("lang", "form", "n", F.col("best.form").alias("right"), F.col("best.n").alias("most"))
+    digit = F.col("form").rlike(rf"^\p{{Ll}}*[{MISREAD_DIGITS}]\p{{Ll}}*$") & (F.length("form") >= 3)
     mixed = F.col("form").rlike("[бвгджзийклмнптфцчшщъыьэюя]") & F.col("form").rlike(".[mn]")
     rare = (F.col("form") != F.col("right")) & (F.col("most") >= FREQUENT) & (F.col("most") >= RATIO * F.col("n")) & (F.length("form") >= 3)
     odd = (digit & (F.col("right").isNotNull() | (F.length("form") >= 5))) | (mixed & (F.length("form") >= 3))
-    found = joined.where(rare | odd).select("lang", "form", F.when(F.col("right") != F.col("form"), F.col("right")).alias("right"), odd.alias("sure"))
-    # The right form must be supported by context: seen between the same words, on one side at least.
-    near = words.where("w = form")
-    sides = near.select("lang", "form", F.explode(F.array(F.concat(F.lit("<"), F.coalesce("before", F.lit(""))), F.concat(F.lit(">"), F.coalesce("next", F.lit(""))))).alias("side"))
-    wanted = sides.join(found.where("NOT sure").select("lang", "form", "right"), ["lang", "form"]).select("lang", "form", "right", "side").distinct()
-    there = sides.select("lang", F.col("form").alias("right"), "side").join(wanted.select("lang", "right").distinct(), ["lang", "right"], "left_semi").distinct()
-    supported = wanted.join(there, ["lang", "right", "side"]).select("lang", "form").distinct()
-    parts = words.where("w <> form").select("lang", "form").distinct()  # parts of compounds have no neighbours of their own
-    held = supported.unionByName(parts).distinct()
-    return found.where("sure").drop("sure").unionByName(found.where("NOT sure").drop("sure").join(held, ["lang", "form"], "left_semi"))
+    found = joined.where(rare | odd).select("lang", "form", F.when(F.col("right") != F.col("form"), F.col("right")).alias("right"), odd.alias("sure")).persist()
+    ends = F.array(F.concat(F.lit("<"), F.coalesce("before", F.lit(""))), F.concat(F.lit(">"), F.coalesce("next", F.lit(""))), F.when(F.col("w") != F.col("form"), F.lit("-")))
+    sides = words.select("lang", "form", F.explode(F.when(F.col("w") == F.col("form"), F.slice(ends, 1, 2)).otherwise(F.slice(ends, 3, 1))).alias("side")).distinct()
+    wanted = sides.join(found.where("NOT sure"), ["lang", "form"]).select("lang", "form", "right", "side")
+    there = sides.withColumnRenamed("form", "right").withColumn("there", F.lit(True))
+    # A part of a compound has no neighbours of its own: it needs no support.
+    held = wanted.join(there, ["lang", "right", "side"], "left").where("there OR side = '-'").select("lang", "form", "right").distinct()
+    return found.where("sure").drop("sure").unionByName(held)
 
 
 def broken_words(text: DataFrame, words: DataFrame) -> DataFrame:
@@ -159,22 +161,22 @@ def broken_words(text: DataFrame, words: DataFrame) -> DataFrame:
         (F.col("after").rlike(r"^\P{L}*\p{Lu}") | F.regexp_replace("line", HYPHENS + "$", "").rlike(r"(?<!\p{L})\p{Lu}{2,}$")
          | F.col("after").rlike(r"^\d")).alias("capital"),
     ).where("right <> ''")
-    whole = words.groupBy("lang", F.col("form").alias("joined")).agg(F.count(F.lit(1)).alias("n_joined"))
-    pairs = words.where(rf"w rlike '\\p{{L}}[-‐‑]\\p{{L}}'").select("lang", "w", "block_id", "line_no").distinct()
+    # Every count that is asked for is one row of one table: words, pairs of compounds, their first and second parts.
     two = F.split("w", "[-‐‑]")
-    pairs = pairs.select("lang", F.explode(F.transform(F.sequence(F.lit(0), F.size(two) - 2), lambda i: F.struct(F.get(two, i).alias("a"), F.get(two, i + 1).alias("b")))).alias("p")).select("lang", "p.a", "p.b")
-    pairs = pairs.withColumn("a", F.regexp_extract("a", r"(\p{L}+)$", 1)).withColumn("b", F.regexp_extract("b", r"^(\p{L}+)", 1))
-    compound = pairs.groupBy("lang", F.col("a").alias("left"), F.col("b").alias("right")).agg(F.count(F.lit(1)).alias("n_pair"))
-    first = pairs.groupBy("lang", F.col("a").alias("left")).agg(F.count(F.lit(1)).alias("n_first"))
-    second = pairs.groupBy("lang", F.col("b").alias("right")).agg(F.count(F.lit(1)).alias("n_second"))
-    left_word = whole.select("lang", F.col("joined").alias("left"), F.col("n_joined").alias("n_left"))
-    right_word = whole.select("lang", F.col("joined").alias("right"), F.col("n_joined").alias("n_right"))
-    judged = (
-        ends.withColumn("joined", F.concat("left", "right")).join(whole, ["lang", "joined"], "left")
-        .join(compound, ["lang", "left", "right"], "left").join(first, ["lang", "left"], "left")
-        .join(second, ["lang", "right"], "left").join(left_word, ["lang", "left"], "left").join(right_word, ["lang", "right"], "left")
-        .na.fill(0, ["n_joined", "n_pair", "n_first", "n_second", "n_left", "n_right"])
-    )
+    pairs = F.transform(F.sequence(F.lit(0), F.size(two) - 2), lambda i: F.struct(F.regexp_extract(F.get(two, i), r"(\p{L}+)$", 1).alias("a"), F.regexp_extract(F.get(two, i + 1), r"^(\p{L}+)", 1).alias("b")))
+    keys = lambda p: F.array(F.concat(F.lit("p"), p["a"], F.lit("-"), p["b"]), F.concat(F.lit("f"), p["a"]), F.concat(F.lit("s"), p["b"]))
+    compound = F.when(F.col("w").rlike(r"\p{L}[-‐‑]\p{L}"), F.flatten(F.transform(pairs, keys))).otherwise(F.array().cast("array<string>"))
+    known = words.select("lang", F.explode(F.concat(F.array(F.concat(F.lit("w"), F.col("form"))), compound)).alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n"))
+    asked = F.array(*[
+        F.concat(F.lit(k), c) for k, c in (
+            ("w", F.concat("left", "right")), ("p", F.concat("left", F.lit("-"), "right")), ("f", F.col("left")), ("s", F.col("right")), ("w", F.col("left")), ("w", F.col("right"))
+        )
+    ])
+    names = ("n_joined", "n_pair", "n_first", "n_second", "n_left", "n_right")
+    looked = ends.select("*", F.posexplode(asked).alias("i", "key")).join(known, ["lang", "key"], "left")
+    judged = looked.groupBy("block_id", "line_no", "left", "right", "capital").agg(
+        *[F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(name) for i, name in enumerate(names)]
+    )
     return judged.where(
         """CASE WHEN n_pair > n_joined THEN false
                 WHEN n_joined > 0 THEN true
@@ -192,9 +194,9 @@ def find_noise(blocks: DataFrame) -> DataFrame:
     lines give nothing, a NULL language is one of its own, a repeated block's lines are judged as often and
     given once; an empty table gives an empty one.
     """
-    lines = scan_lines(blocks)
-    noise = furniture(lines)
-    text = running(lines, noise).persist()
+    lines = scan_lines(blocks).persist()
+    noise = cut(furniture(lines))  # plans of what is persisted nest; these two cuts keep them small
+    text = cut(running(lines, noise))
     words = tokens(text).persist()
     wrong = misread(words).select("lang", "form")
     ocr = words.join(wrong, ["lang", "form"], "left_semi").select("block_id", "line_no", F.lit("ocr").alias("noise"))
@@ -206,9 +208,9 @@ def find_noise(blocks: DataFrame) -> DataFrame:
 def repair(blocks: DataFrame) -> DataFrame:
     """``block_id, text``: running text of each scanned block that has any, without furniture, misread words mended
     where the right form is known, broken words joined at the line they begin on, lines reflowed into one."""
-    lines = scan_lines(blocks)
-    noise = furniture(lines)
-    text = running(lines, noise).persist()
+    lines = scan_lines(blocks).persist()
+    noise = cut(furniture(lines))  # plans of what is persisted nest; these two cuts keep them small
+    text = cut(running(lines, noise))
     words = tokens(text).persist()
     fixes = words.join(misread(words).where("right IS NOT NULL"), ["lang", "form"]).groupBy("block_id", "line_no").agg(
         F.collect_set(F.struct("form", "right")).alias("fixes")
