@@ -53,6 +53,25 @@ def test_alignment_pairs_sentences(spark):
     assert alignment.align(df.limit(0), alignment.Concepts([])).count() == 0
 
 
+def test_alignment_knows_the_words_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    made = ["".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(800)]
+    nouns = list(zip(made[:400], made[400:]))
+    rows, want = [], set()
+    for b in range(1600):
+        (e1, d1), (e2, d2) = rng.sample(nouns, 2)
+        s, t = [f"The {e1} rises again. ", f"The {e2} rises again. "], [f"Der {d1} steigt wieder. ", f"Der {d2} steigt wieder. "]
+        swap = rng.random() < 0.5
+        want |= {(b, 0, len(t[1]) if swap else 0), (b, len(s[0]), 0 if swap else len(t[0]))}
+        rows.append((b, "en>de", "".join(s), "".join(t[::-1] if swap else t)))
+    df = spark.createDataFrame(rows, "block_id bigint, pair string, source string, target string").persist()
+    found = {tuple(r) for r in alignment.align(df, alignment.learn_concepts(df)).collect()}
+    assert len(found & want) / len(want) > 0.95 and len(found & want) / len(found) > 0.95
+    # Word vectors in several parts give the same pairs.
+    monkeypatch.setattr(alignment, "CELLS", 3000)
+    assert {tuple(r) for r in alignment.align(df, alignment.learn_concepts(df)).collect()} == found
+
+
 # --- 2
 
 
