@@ -25,6 +25,9 @@ MISREAD_DIGITS = "0156893"
 HEAD_PAGES, NUMBER_PAGES = 3, 3
 #: A form is misread if the frequent form of its skeleton is so many times as frequent, and at least so frequent.
 RATIO, FREQUENT = 8, 5
+#: Letters of a form that its neighbours alone may show to be misread; a telling neighbour is beside so many forms at
+#: most, or one in so many of all.
+TWIN, TELLING, TELLING_SHARE = 5, 5, 100
 EDGE = 2
 #: Fixed value: words for a page beside its number.
 _PAGE = "(?:page|p|seite|s|стр|с|pag|pág)"
@@ -123,13 +126,44 @@ def tokens(text: DataFrame) -> DataFrame:
 
 
 _CYRILLIC = r"lang IN ('ru', 'uk') OR form rlike '[бвгджзийклмнптфцчшщъыьэюя]'"
+#: Words in letters that only Latin script has are counted over all languages: names are the same in each.
+_POOL = "CASE WHEN form rlike '[bdfgklrtuvz]' AND NOT form rlike '[бвгджзийклмнптфцчшщъыьэюя]' THEN '' ELSE lang END"
+
+
+def supported_twins(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """``lang, form, right``: forms whose neighbours show them to be a commoner clean form of their skeleton, at any ratio.
+
+    Half of the neighbours, by occurrence, must be beside the right form too, on the same side, and one of them
+    must tell something: it is not beside many forms as an article is. Counts are of the pool of :data:`_POOL`.
+    """
+    pooled = counts.withColumn("pool", F.expr(_POOL)).persist()
+    forms = pooled.groupBy(F.col("pool").alias("lang"), "form").agg(F.sum("n").alias("n"))
+    sizes = forms.groupBy("lang").agg(F.count(F.lit(1)).alias("forms"))
+    clean = ~F.col("form").rlike(rf"[{MISREAD_DIGITS}]")
+    best = F.max(F.when(clean, F.struct("n", "form"))).over(Window.partitionBy("lang", "skeleton"))
+    forms = forms.withColumn("skeleton", skeleton(F.col("form"), F.expr(_CYRILLIC))).withColumn("best", best)
+    twins = forms.where(clean & (F.col("form") != F.col("best.form")) & (F.col("n") < F.col("best.n")) & (F.length("form") >= TWIN))
+    twins = twins.select("lang", "form", F.col("best.form").alias("right"))
+    both = F.array_compact(F.array(F.when(F.col("before") != "", F.concat(F.lit("<"), "before")), F.when(F.col("next") != "", F.concat(F.lit(">"), "next"))))
+    beside = words.where("w = form").select(F.expr(_POOL).alias("lang"), "form", F.explode(both).alias("side")).groupBy("lang", "form", "side").agg(F.count(F.lit(1)).alias("k")).persist()
+    sides = beside.join(twins, ["lang", "form"])
+    there = beside.select("lang", F.col("form").alias("right"), "side", F.lit(True).alias("there"))
+    spread = beside.groupBy("lang", "side").agg(F.count(F.lit(1)).alias("beside"))
+    seen = sides.join(there, ["lang", "right", "side"], "left").join(spread, ["lang", "side"]).join(sizes, "lang")
+    telling = F.col("there") & (F.col("beside") <= F.greatest(F.lit(TELLING), F.col("forms") / TELLING_SHARE))
+    judged = seen.groupBy("lang", "form", "right").agg(
+        F.sum("k").alias("all"), F.sum(F.when(F.col("there"), F.col("k"))).alias("held"), F.max(F.coalesce(telling, F.lit(False))).alias("telling")
+    )
+    held = judged.where("telling AND 2 * held >= all").select(F.col("lang").alias("pool"), "form", "right")
+    return pooled.join(held, ["pool", "form"]).select("lang", "form", "right")
 
 
 def misread(words: DataFrame) -> DataFrame:
     """``lang, form, right``: misread forms and the form they stand for (NULL where none is known).
 
     A window holds the forms of one skeleton of a language. The right form must be supported by context: seen
-    beside a word that the misread form is beside, on the same side.
+    beside a word that the misread form is beside, on the same side. Where counts don't decide, because a form is
+    rare or often misread, :func:`supported_twins` asks for more of the context.
     """
     counts = words.groupBy("lang", "form").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("skeleton", skeleton(F.col("form"), F.expr(_CYRILLIC)))
@@ -148,7 +182,9 @@ def misread(words: DataFrame) -> DataFrame:
     there = sides.withColumnRenamed("form", "right").withColumn("there", F.lit(True))
     # A part of a compound has no neighbours of its own: it needs no support.
     held = wanted.join(there, ["lang", "right", "side"], "left").where("there OR side = '-'").select("lang", "form", "right").distinct()
-    return found.where("sure").drop("sure").unionByName(held)
+    counted = found.where("sure").drop("sure").unionByName(held).withColumn("by", F.lit(0))
+    both = counted.unionByName(supported_twins(words, counts.drop("skeleton")).withColumn("by", F.lit(1)))
+    return both.groupBy("lang", "form").agg(F.min_by("right", F.when(F.col("right").isNotNull(), F.col("by"))).alias("right"))
 
 
 def broken_words(text: DataFrame, words: DataFrame) -> DataFrame:

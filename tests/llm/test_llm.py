@@ -196,6 +196,24 @@ def test_scans(spark):
     assert scans.find_noise(df.limit(0)).count() == 0
 
 
+def test_rare_and_systematic_misreadings(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("kmpsvzy") + rng.choice("aou") for _ in range(3)) for _ in range(80)]
+    rows = [(i, 0, rng.choice(("en", "de")), " ".join(rng.choice(words) for _ in range(6))) for i in range(300)]
+    # Right forms, misread forms in a part above 1/8, in another language and once in three, and two words of one skeleton.
+    rows += [(400 + i, 0, "en", f"zuku {'prcssure' if i % 3 == 0 else 'pressure'} vavo") for i in range(30)]
+    rows += [(500, 0, "fr", "kamo spiethgamar povu"), (501, 0, "en", "kamo spiethgamar povu"), (502, 0, "de", "kamo spiefhgamar povu")]
+    rows += [(600 + i, 0, "en", f"sazo {'bearing' if i % 3 else 'hearing'} {'mopa' if i % 3 else 'yusa'}") for i in range(9)]
+    rows += [(700 + i, 0, "en", "sazo " + w) for i, w in enumerate(words)]
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    made = [(i, i, lang, 1, 0, [([(x, (0.0, 0.0, 9.0, 9.0))],)]) for i, _, lang, x in rows]
+    df = spark.createDataFrame(made, f"block_id bigint, doc_id bigint, lang string, page_num int, block_pos int, lines array<struct<spans:array<struct<text:string,bbox:{box}>>>>")
+    got = {r.block_id for r in scans.find_noise(df).collect() if r.noise == "ocr"}
+    assert got == {502} | {400 + i for i in range(0, 30, 3)}
+    text = {r.block_id: r.text for r in scans.repair(df).collect()}
+    assert text[502] == "kamo spiethgamar povu" and text[400] == "zuku pressure vavo" and text[600] == "sazo hearing yusa"
+
+
 # --- 8
 
 
