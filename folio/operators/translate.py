@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from folio.functions import predicates as P
 from folio.functions.text import normalize_text, split_by_paragraphs, split_sentences
+from folio.operators import masking
 from folio.operators.validate import flags, rejects
 
 LANGUAGE_NAMES = {
@@ -19,10 +20,16 @@ LANGUAGE_NAMES = {
     "ko": "Korean", "pt": "Portuguese", "pl": "Polish", "tr": "Turkish", "ar": "Arabic", "hi": "Hindi", "uk": "Ukrainian", "bg": "Bulgarian",
 }
 SECTION_CHARS, CHUNK_CHARS, RESCUE_CHARS, CONTEXT_CHARS = 4000, 2500, 600, 600
+#: Context of the outer chunks of a text of several, and of the outer pieces of a rescued text.
+CHUNK_CONTEXT, PIECE_CONTEXT = 500, 300
 
 
 class Translator(Protocol):
-    """What a back end offers; one is made for each partition, on the executor."""
+    """What a back end offers; one is made for each partition, on the executor.
+
+    One that has ``translate_in_context(texts, lang, before, after)`` as well, as language models do, is given plain
+    texts and what stands around them (X08); the others are given texts whose protected tokens are masked.
+    """
 
     name: str
 
@@ -167,6 +174,7 @@ def chunks(work: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
 def translate_chunks(rows: DataFrame, name: str, fallback: bool = False, attempts: int = 2) -> DataFrame:
     """Adds ``answer`` to rows with ``chunk`` and ``target_lang`` (X02-X05): a back end for each partition.
 
+    It reads ``masked`` instead of the chunk if that column is there, or ``context_before`` and ``context_after``.
     Texts of fewer than 3 characters pass through. A call that fails is tried again; after that the answer is NULL.
     Spark may run a task twice, so a back end with side effects should answer from a memory.
     """
@@ -180,10 +188,14 @@ def translate_chunks(rows: DataFrame, name: str, fallback: bool = False, attempt
         for pdf in batches:
             out: list[str | None] = [None] * len(pdf)
             for lang, index in pdf.reset_index(drop=True).groupby("target_lang", dropna=False).groups.items():
-                texts = [pdf["chunk"].iloc[i] for i in index]
+                around = [[pdf[c].iloc[i] for i in index] for c in ("context_before", "context_after") if c in pdf]
+                if fallback:
+                    around = [[""] * len(index) for _ in around]
+                in_context = len(around) == 2 and hasattr(engine, "translate_in_context")
+                texts = [pdf["masked" if "masked" in pdf and not in_context else "chunk"].iloc[i] for i in index]
                 for _ in range(attempts):
                     try:
-                        for i, a in zip(index, engine.translate(texts, lang)):
+                        for i, a in zip(index, engine.translate_in_context(texts, lang, *around) if in_context else engine.translate(texts, lang)):
                             out[i] = a
                         break
                     except OSError:
@@ -194,21 +206,67 @@ def translate_chunks(rows: DataFrame, name: str, fallback: bool = False, attempt
     return rows.mapInPandas(run, schema)
 
 
-def translate_blocks(blocks: DataFrame, tm: DataFrame, name: str = "identity") -> DataFrame:
+def _answers(rows: DataFrame, name: str) -> DataFrame:
+    """Adds ``answer`` and ``ok``: of the primary back end, and of the fallback, without context, where that is rejected.
+
+    Protected tokens are masked on the way and put back before the checks. Results are persisted: no text is asked twice.
+    """
+
+    def ask(rows: DataFrame, fallback: bool) -> DataFrame:
+        done = translate_chunks(rows.withColumn("masked", masking.mask("chunk")["masked"]), name, fallback).drop("masked")
+        back = masking.restore(F.col("answer"), masking.mask("chunk")["tokens"])
+        done = done.withColumn("answer", F.when(P.is_short_citation(F.col("chunk")), F.col("chunk")).when(F.col("answer").isNotNull(), back))
+        ok = F.col("answer").isNotNull() & (P.is_short_citation(F.col("chunk")) | ~rejects(flags(F.col("chunk"), F.col("answer"), F.col("target_lang"))))
+        return done.withColumn("ok", F.coalesce(ok, F.lit(False))).persist()
+
+    first = ask(rows, False)
+    if backend(name)[1] is None:
+        return first
+    return first.where("ok").unionByName(ask(first.where("NOT ok").select(*rows.columns), True))
+
+
+def _rescued(failed: DataFrame, name: str, chars: int) -> DataFrame:
+    """``block_id, chunk_no, rescued``: failed chunks that pass in pieces of ``chars``, all of them or none."""
+    parts = split_sentences(F.col("chunk"), chars, max(80, min(650, chars // 3)))
+    long = failed.where(F.length("chunk") > chars).withColumn("parts", parts).where("size(parts) > 1")
+    # Contexts of a chunk of several are not handed on.
+    whole = long.withColumns({c: F.when(F.col("last_no") == 0, F.col(c)).otherwise("") for c in ("context_before", "context_after")})
+    pieces = whole.select(
+        "block_id", "target_lang", "chunk_no", F.size("parts").alias("n"), F.posexplode("parts").alias("piece_no", "chunk"), "context_before", "context_after"
+    )
+    pieces = pieces.withColumns({
+        "context_before": F.when(F.col("piece_no") == 0, F.right("context_before", F.lit(PIECE_CONTEXT))).otherwise(""),
+        "context_after": F.when(F.col("piece_no") == F.col("n") - 1, F.left("context_after", F.lit(PIECE_CONTEXT))).otherwise(""),
+    })
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", F.trim("answer").alias("a")))), lambda x: x["a"]), " ")
+    return _answers(pieces, name).groupBy("block_id", "chunk_no").agg(F.bool_and("ok").alias("ok"), joined.alias("rescued")).where("ok").drop("ok")
+
+
+def translate_blocks(blocks: DataFrame, tm: DataFrame, name: str = "identity", rescue_chars: int = RESCUE_CHARS) -> DataFrame:
     """``block_id, translation, outcome`` of every block (X09): skipped, contained, citation, cached, success or failed.
 
     ``blocks`` has doc_id, block_id, page_num, block_pos, type, text, target_lang. Cheap outcomes are taken out
-    before the back end sees a row; a block succeeds if all its chunks are answered and pass the checks.
+    before the back end sees a row; a chunk that neither back end answers well is tried in pieces (X06, X07); a block
+    succeeds if all its chunks are answered and pass the checks.
     """
     work = work_list(blocks)
     inside = contained_blocks(work).withColumn("_inside", F.lit(True))
     w = lookup(work.join(inside, "block_id", "left"), tm, "normalized")
     cheap = F.when(F.col("_inside"), "contained").when(P.is_short_citation(F.col("text")), "citation").when(F.col("cached").isNotNull(), "cached")
-    w = w.withColumn("outcome", cheap)
-    todo = chunks(w.where("outcome IS NULL").select("block_id", "target_lang", "normalized"))
-    done = translate_chunks(todo.select("block_id", "target_lang", "chunk_no", "chunk"), name)
-    ok = F.coalesce(~rejects(flags(F.col("chunk"), F.col("answer"), F.col("target_lang"))), F.lit(False))
-    whole = done.withColumn("ok", ok & F.col("answer").isNotNull()).groupBy("block_id").agg(
+    w = w.withColumn("outcome", cheap).select("doc_id", "block_id", "page_num", "block_pos", "text", "target_lang", "normalized", "cached", "outcome").persist()
+    packed = w.where("outcome IS NULL OR outcome = 'cached'")
+    asked = with_context(packed, sections(packed)).where("outcome IS NULL")
+    todo = chunks(asked.select("block_id", "target_lang", "normalized", "context_before", "context_after"))
+    todo = todo.withColumn("last_no", F.max("chunk_no").over(Window.partitionBy("block_id")))
+    todo = todo.withColumns({
+        "context_before": F.when(F.col("last_no") == 0, F.col("context_before")).when(F.col("chunk_no") == 0, F.right("context_before", F.lit(CHUNK_CONTEXT))).otherwise(""),
+        "context_after": F.when(F.col("last_no") == 0, F.col("context_after")).when(F.col("chunk_no") == F.col("last_no"), F.left("context_after", F.lit(CHUNK_CONTEXT))).otherwise(""),
+    })
+    done = _answers(todo.select("block_id", "target_lang", "chunk_no", "last_no", "chunk", "context_before", "context_after"), name)
+    pieces = _rescued(done.where("NOT ok"), name, rescue_chars)
+    done = done.join(pieces, ["block_id", "chunk_no"], "left")
+    done = done.withColumn("ok", F.col("ok") | F.col("rescued").isNotNull()).withColumn("answer", F.coalesce("rescued", "answer"))
+    whole = done.groupBy("block_id").agg(
         F.bool_and("ok").alias("ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "answer"))), lambda x: x["answer"]), "\n\n").alias("answer")
     )
     first = w.where("outcome IS NOT NULL").select("block_id", F.when(F.col("outcome") == "cached", F.col("cached")).otherwise(F.col("text")).alias("translation"), "outcome")

@@ -100,3 +100,37 @@ def test_memory_and_pipeline(spark):
     out = {r.block_id: r for r in translate.translate_blocks(pages(spark, rows).withColumn("target_lang", F.lit("ru")), tm).collect()}
     assert {k: v.outcome for k, v in out.items()} == {1: "cached", 2: "success", 3: "skipped", 4: "citation"}
     assert out[1].translation == "известный текст такой длины"
+
+
+def test_fallback_rescue_and_context(spark):
+    class Short:
+        """Fails on long texts, on some words, and on a link that isn't masked; gives the words back in reverse."""
+
+        name = "short"
+
+        def translate(self, texts, lang):
+            return [None if len(t) > 650 or "never" in t or "second" in t or "10.1000" in t else " ".join(t.split()[::-1]) for t in texts]
+
+        def generate(self, prompt):
+            return None
+
+    class Other(Short):
+        def translate(self, texts, lang):
+            return ["запасной " + " ".join(t.split()[::-1]) if "second" in t and "never" not in t and len(t) < 650 else None for t in texts]
+
+    class Context(Short):
+        def translate_in_context(self, texts, lang, before, after):
+            return [f"{b[-5:]}|{a[:5]}" for b, a in zip(before, after)]
+
+    translate.register("short", Short, Other)
+    translate.register("context", Context)
+    tm = spark.sql("SELECT 1L AS entry_id, 'x' AS text, 'en' AS lang, 'y' AS translation, timestamp'2020-01-01' AS stored_at")
+    long = [f"Sentence {i} has a {w} word in it and some more text to be long enough." for i, w in enumerate(["first", "second"] * 8)]
+    texts = ["one plain short text here", "the second text of the page", "never answered by any", " ".join(long), " ".join(long[:-1]) + " It is never answered so.", "see 10.1000/xyz for the whole data"]
+    b = pages(spark, [(1, 1, i, i, "paragraph", t) for i, t in enumerate(texts)]).withColumn("target_lang", F.lit("en"))
+    out = {r.block_id: r for r in translate.translate_blocks(b, tm, "short").collect()}
+    assert [out[i].outcome for i in range(6)] == ["success", "success", "failed", "success", "failed", "success"]
+    assert out[1].translation.startswith("запасной") and out[4].translation is None and "10.1000/xyz" in out[5].translation
+    assert out[3].translation.count("a has") == 16 and "\n" not in out[3].translation
+    near = {r.block_id: r.translation for r in translate.translate_blocks(b, tm, "context").collect()}
+    assert near[0] == "|the s" and near[1] == " here|never" and near[5] == "d so.|"
