@@ -1,3 +1,3 @@
-from folio.sources.tables import load, reading_text, spread
+from folio.sources.tables import attach, known_size, load, reading_text, spread
 
-__all__ = ["load", "reading_text", "spread"]
+__all__ = ["attach", "known_size", "load", "reading_text", "spread"]

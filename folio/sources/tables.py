@@ -23,6 +23,29 @@ def reading_text(override: str = "text_override", lines: str = "lines") -> Colum
     return F.coalesce(F.col(override), span_text(lines))
 
 
+#: Bytes that a side of a join may have, as the optimizer estimates or a cached table knows, to be sent to every executor.
+BROADCAST_BYTES = 32 << 20
+#: Parts that the rows of one key are split into where a side is too large to be sent.
+SALTS = 16
+
+
+def known_size(df: DataFrame) -> int:
+    """Bytes of a table: those of its cached rows if it was persisted and counted, else the optimizer's estimate."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def attach(rows: DataFrame, side: DataFrame, on: str, by: str, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows joined to ``side``, which has one row for each key ``on``, however many rows one key has.
+
+    A side of at most ``limit`` bytes is broadcast, so no row moves. A larger one is repeated SALTS times and the rows
+    of a key are split by a hash of ``by``, so that a key with a third of all rows is no single task.
+    """
+    if known_size(side) <= limit:
+        return rows.join(F.broadcast(side), on, how)
+    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.expr(f"cast(pmod(xxhash64(`{by}`), {SALTS}) AS int)")).join(salted, [on, "_salt"], how).drop("_salt")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for CPU-heavy work on a small input that arrives in too few splits.
 
