@@ -31,7 +31,7 @@ SALTS = 16
 
 def known_size(df: DataFrame) -> int:
     """Bytes of a table: those of its cached rows if it was persisted and counted, else the optimizer's estimate."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def attach(rows: DataFrame, side: DataFrame, on: str, by: str, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
