@@ -29,13 +29,14 @@ CACHE_ENTRIES = 400_000
 
 
 class RankQueue:
-    """Priority queue over ranks below 64**3; positions of one rank come out from left to right."""
+    """Priority queue over ranks; positions of one rank come out from left to right. The top level is one word of as many
+    bits as the ranks need (below 64**3 one of 64)."""
 
     __slots__ = ("low", "mid", "top", "head", "at", "link")
 
-    def __init__(self) -> None:
+    def __init__(self, ranks: int = 1 << 18) -> None:
         self.low: dict[int, int] = {}
-        self.mid = [0] * 64
+        self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
         self.head: dict[int, int] = {}
         self.at: list[int] = []
@@ -92,7 +93,7 @@ class Encoder:
         import regex
 
         self.ranks = ranks
-        self.queue = RankQueue()
+        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         split, pieces = regex.compile(PATTERN).findall, _Memo(lambda p: self._bytes(p))
         self.cache = _Memo(lambda w: b"".join(map(pieces.__getitem__, split(w))))
         self.split = re.compile(COARSE).findall

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import alignment, bpe, defects, glyphs, langid, leaks, lookalike, multiset, pieces, scans, sentences
+from folio.llm import alignment, bpe, defects, langid, leaks, lookalike, multiset, pieces, scans, sentences
 from folio.sources import load, reading_text, spread
 
 
@@ -49,7 +49,7 @@ def p3_defects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "blocks").select("block_id", reading_text().alias("text"))
+    return spread(load(spark, d, "blocks").select("block_id", reading_text().alias("text")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,6 +60,10 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(_readings(spark, d))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_members(_readings(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     papers = load(spark, d, "papers").where("mode = 'raw'").select("doc_id", "lang")
     blocks = load(spark, d, "blocks").where("type = 'paragraph' AND text_override IS NOT NULL")
@@ -68,7 +72,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _recurring(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "blocks").where(F.col("type").isin("paragraph", "list", "metadata"))
+    kept = load(spark, d, "blocks").where(F.col("type").isin("paragraph", "list", "metadata"))
+    return spread(kept.select("block_id", "type", "text_override", "translation"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +128,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
-        p1_found, p2_found, p2_pieces, p3_found, p3_defects, p4_found, p4_canonical, p5_found, p6_found, p6_counts, p7_found, p7_paragraphs, p8_ids, p9_found, p10_found, p10_languages,
+        p1_found, p2_found, p2_pieces, p3_found, p3_defects, p4_found, p4_canonical, p4_classes, p5_found, p6_found, p6_counts, p7_found, p7_paragraphs, p8_ids, p9_found, p10_found, p10_languages,
         p10_passages,
     ]
     return {f.__name__: f for f in made}
@@ -132,17 +137,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _READINGS = (
     "coalesce(text_override, trim(array_to_string(flatten(list_transform(lines, lambda l: list_transform(l.spans, lambda s: s.text))), ' ')))"
 )
-_FROM, _TO = "".join(glyphs.ONE_TO_ONE) + glyphs.REMOVED, "".join(glyphs.ONE_TO_ONE.values())
+# What looks the same, written out for the SQL (not read from the operator's tables).
+_SAME = [
+    ("АВЕКМНОРСТУХІЅЈԚԜ", "ABEKMHOPCTYXISJQW"), ("аеорсухіѕјһԛԝ", "aeopcyxisjhqw"), ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"), ("ονρϲϳ", "ovpcj"),
+    ("ёЁїЇ", "ëËïÏ"), ("µ", "μ"), ("ıɡԁѵӀӏօսհ", "igdvIlouh"),
+]
+_BLANKS, _HYPHENS = "".join(map(chr, (0xA0, 0x2007, 0x202F, 0x3000))), "".join(map(chr, (0x2D7, 0x2010, 0x2011, 0x2043, 0xFE63)))
+_GONE = "".join(map(chr, (0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF)))
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_FROM = "".join(a for a, _ in _SAME) + _BLANKS + _HYPHENS + _WIDE + _GONE
+_TO = "".join(b for _, b in _SAME) + " " * len(_BLANKS) + "-" * len(_HYPHENS) + "".join(map(chr, range(0x21, 0x7F)))
 
 
 def _look_sql(text: str) -> str:
     quote = lambda x: x.replace("'", "''")
     out = f"translate({text}, '{quote(_FROM)}', '{quote(_TO)}')"
-    for ligature, plain in glyphs.LIGATURES.items():
+    for ligature, plain in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
         out = f"replace({out}, '{ligature}', '{plain}')"
     return f"nfc_normalize({out})"
 
 
+_LOOKED = f"r AS (SELECT block_id, {_READINGS} AS t FROM blocks), l AS (SELECT block_id, t, {_look_sql('t')} AS k FROM r WHERE t IS NOT NULL)"
 _PLAIN = "regexp_replace(replace(lower({0}), 'ß', 'ss'), '[\\s\\p{{Z}}\\p{{P}}\\p{{Cc}}|=<>`~^¦]+', '', 'g')"
 _COPIES = f"""WITH t AS (SELECT block_id, {_PLAIN.format("translation")} AS tr, list_sort(list_filter(list_transform(
     CASE WHEN type = 'metadata' THEN regexp_split_to_array(text_override, '[;|\n\r\t]+') ELSE [text_override] END,
@@ -153,8 +168,12 @@ g AS (SELECT block_id, min(block_id) OVER (PARTITION BY f, tr) AS first_id FROM
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p4_found": f"""WITH r AS (SELECT block_id, {_READINGS} AS t FROM blocks), l AS (SELECT block_id, t, {_look_sql("t")} AS k FROM r WHERE t IS NOT NULL)
-            SELECT least(a.block_id, b.block_id) AS block_a, greatest(a.block_id, b.block_id) AS block_b FROM l a JOIN l b ON a.k = b.k AND a.t < b.t""",
+        "p4_found": f"""WITH {_LOOKED} SELECT least(a.block_id, b.block_id) AS block_a, greatest(a.block_id, b.block_id) AS block_b FROM l a JOIN l b ON a.k = b.k AND a.t < b.t""",
+        "p4_canonical": f"""WITH {_LOOKED}, n AS (SELECT k, t, count(*) AS n FROM l GROUP BY k, t), c AS (SELECT k, arg_min(t, (-n, encode(t))) AS c FROM n GROUP BY k)
+            SELECT r.block_id, c.c AS canonical FROM r LEFT JOIN l USING (block_id) LEFT JOIN c ON c.k = l.k""",
+        "p4_classes": f"""WITH {_LOOKED}, n AS (SELECT *, count(*) OVER (PARTITION BY k, t) AS copies, min(block_id) OVER (PARTITION BY k) AS class_id FROM l),
+            m AS (SELECT k, count(DISTINCT t) AS forms FROM l GROUP BY k HAVING count(DISTINCT t) > 1)
+            SELECT class_id, block_id, forms::BIGINT AS forms, copies::BIGINT AS copies FROM n JOIN m USING (k)""",
         "p6_found": f"{_COPIES} SELECT first_id, block_id FROM g WHERE block_id <> first_id",
         "p6_counts": f"{_COPIES} SELECT first_id, count(*)::BIGINT AS copies FROM g GROUP BY first_id HAVING count(*) > 1",
     }

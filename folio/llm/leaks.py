@@ -7,58 +7,98 @@ of BM25 impacts that any twelve consecutive words of that item have, so each ite
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
+from array import array
+from bisect import bisect_right
+from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folio.llm.glyphs import words
 
 K1, B = 1.2, 0.75
 BLOCK = 16
-#: An index is broadcast; items beyond this many bytes of text are searched in blocks, each with its own index.
-MAX_INDEX_TEXT = 16 << 20
+#: An index is sent to every worker, where it has some 5 bytes for each character of its items; items beyond so many
+#: characters are searched in blocks, each with its own index.
+MAX_INDEX_TEXT = 24_000_000
+#: Runs of words that are looked at together while an index is made.
+_AT_ONCE = 100_000
+
+
+def _hashes(ids: np.ndarray, run: int) -> np.ndarray:
+    """64-bit hash of each ``run`` consecutive word numbers."""
+    out = np.zeros(max(0, len(ids) - run + 1), np.uint64)
+    factor = 1
+    for k in range(run):
+        factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
+        out += (ids[k : k + len(out)].astype(np.uint64) + np.uint64(1)) * np.uint64(factor)
+    return out
 
 
 class Index:
-    """BM25 postings of items, ordered by item, with the largest impact of each block and of each list."""
+    """BM25 postings of items, ordered by item, with the largest impact of each block and of each list.
+
+    Everything but the vocabulary is a flat array: word numbers of all items one after the other, postings of all words
+    one after the other, and the hashes of all runs of words in order, each with its place.
+    """
 
     def __init__(self, items: list[tuple[int, str]], run: int = 12):
         self.run = run
-        kept = [(i, w) for i, t in items if len(w := words(t or "")) >= run]
-        self.ids = [i for i, _ in kept]
         self.vocabulary: dict[str, int] = {}
-        texts = [[self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w] for _, w in kept]
-        n, avg = len(texts), sum(map(len, texts)) / max(1, len(texts))
-        df = Counter(t for w in texts for t in set(w))
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        self.grams: list[set[tuple[int, ...]]] = []
-        self.bound: list[float] = []
-        for d, w in enumerate(texts):
-            impact = {
-                t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / avg))
-                for t, c in Counter(w).items()
-            }
-            for t, x in impact.items():
-                self.postings[t].append((d, x))
-            grams = [tuple(w[i : i + run]) for i in range(len(w) - run + 1)]
-            self.grams.append(set(grams))
-            self.bound.append(min(sum(impact[t] for t in set(g)) for g in grams) - 1e-9)
-        self.threshold = min(self.bound, default=math.inf)
-        self.most = [max(x for _, x in p) for p in self.postings]
-        self.blocks = [[max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.postings]
+        self.ids: list = []
+        tokens, starts, get = array("i"), array("q", [0]), self.vocabulary.setdefault
+        for i, text in items:
+            w = words(text or "")
+            if len(w) >= run:
+                self.ids.append(i)
+                tokens.extend(get(x, len(self.vocabulary)) for x in w)
+                starts.append(len(tokens))
+        self.tokens, self.starts = tokens, starts
+        n, ids, begin = len(self.ids), np.frombuffer(tokens, np.int32) if tokens else np.zeros(0, np.int32), np.array(starts)
+        size = np.diff(begin)
+        item = np.repeat(np.arange(n, dtype=np.int64), size)
+        key, back, count = np.unique(ids.astype(np.int64) * max(1, n) + item, return_inverse=True, return_counts=True)
+        word, docs = key // max(1, n), key % max(1, n)
+        offsets = np.searchsorted(word, np.arange(len(self.vocabulary) + 1))
+        df = np.diff(offsets)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        relative = size / (size.mean() if n else 1)
+        impact = (idf[word] * count * (K1 + 1) / (count + K1 * (1 - B + B * relative[docs]))).astype(np.float32)
+        self.offsets, self.docs, self.impacts = array("q", offsets.tolist()), array("i", docs.astype(np.int32).tobytes()), array("f", impact.tobytes())
+        self.most = array("f", np.maximum.reduceat(impact, offsets[:-1]).tobytes()) if len(impact) else array("f")
+        first = np.concatenate([[0], np.cumsum(-(-df // BLOCK))]).astype(np.int64)
+        of = np.repeat(np.arange(len(df)), df)
+        block = first[of] + (np.arange(len(of)) - offsets[of]) // BLOCK
+        edges = np.flatnonzero(np.diff(block, prepend=-1))
+        self.first, self.blocks = array("q", first.tolist()), array("f", np.maximum.reduceat(impact, edges).tobytes()) if len(edges) else array("f")
+        # Runs that lie within one item, their hashes, and the least score that one of an item's has.
+        here = np.flatnonzero(np.arange(len(ids)) + run <= begin[1:][item]) if n else np.zeros(0, np.int64)
+        bound = np.full(n, np.inf)
+        score = impact[back.reshape(-1)].astype(np.float64)
+        for a in range(0, len(here), _AT_ONCE):
+            at = here[a : a + _AT_ONCE, None] + np.arange(run)
+            order = np.argsort(ids[at], axis=1, kind="stable")
+            own, gain = np.take_along_axis(ids[at], order, 1), np.take_along_axis(score[at], order, 1)
+            gain[:, 1:][own[:, 1:] == own[:, :-1]] = 0
+            np.minimum.at(bound, item[at[:, 0]], gain.sum(axis=1))
+        self.bound = array("d", (bound - 1e-9).tobytes())
+        self.threshold = min(self.bound, default=np.inf)
+        hashes = _hashes(ids, run)[here]
+        order = np.argsort(hashes, kind="stable")
+        self.grams, self.places = hashes[order], here[order].astype(np.uint32 if len(ids) < 1 << 32 else np.uint64)
 
     def wand(self, terms: set[int]) -> list[int]:
         """Items whose score for these terms reaches their bound."""
-        lists = sorted([self.postings[t][0][0], t, 0] for t in terms)
-        post, least, found, end = self.postings, self.threshold, [], len(self.ids)
+        docs, impacts, offsets, most, least, found, end = self.docs, self.impacts, self.offsets, self.most, self.threshold, [], len(self.ids)
+        lists = sorted([docs[offsets[t]], t, offsets[t]] for t in terms)
         while lists:
             total, pivot = 0.0, -1
             for k, (_, t, _) in enumerate(lists):
-                total += self.most[t]
+                total += most[t]
                 if total >= least:
                     pivot = k
                     break
@@ -68,47 +108,59 @@ class Index:
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == doc:
                 pivot += 1
             head = lists[: pivot + 1]
-            if sum(self._block(t, at, doc) for _, t, at in head) >= least:
+            where = [self._at(t, at, doc) for _, t, at in head]
+            if sum(self.blocks[self.first[c[1]] + b] for c, b in zip(head, where)) >= least:
                 score = 0.0
                 for c in head:
-                    p, at = post[c[1]], c[2]
-                    while at < len(p) and p[at][0] < doc:
+                    at, stop = c[2], offsets[c[1] + 1]
+                    while at < stop and docs[at] < doc:
                         at += 1
-                    if at < len(p) and p[at][0] == doc:
-                        score += p[at][1]
+                    if at < stop and docs[at] == doc:
+                        score += impacts[at]
                         at += 1
                     c[2] = at
-                    c[0] = p[at][0] if at < len(p) else end
+                    c[0] = docs[at] if at < stop else end
                 if score >= self.bound[doc]:
                     found.append(doc)
             else:
                 # No item before the nearest block border can reach the bound with these lists.
-                to = min(self._border(t, at, doc) for _, t, at in head)
+                to = min(self._border(t, b) for (_, t, _), b in zip(head, where))
                 if pivot + 1 < len(lists):
                     to = min(to, lists[pivot + 1][0])
                 to = max(to, doc + 1)
                 for c in head:
-                    p, at = post[c[1]], c[2]
-                    while at < len(p) and p[at][0] < to:
+                    at, stop = c[2], offsets[c[1] + 1]
+                    while at < stop and docs[at] < to:
                         at += 1
                     c[2] = at
-                    c[0] = p[at][0] if at < len(p) else end
+                    c[0] = docs[at] if at < stop else end
             lists = sorted(c for c in lists if c[0] < end)
         return found
 
     def _at(self, t: int, at: int, doc: int) -> int:
         """The block of a list, from position ``at`` on, where ``doc`` would be."""
-        p, b = self.postings[t], at // BLOCK
-        while b + 1 < len(self.blocks[t]) and p[(b + 1) * BLOCK][0] <= doc:
+        begin, stop, docs = self.offsets[t], self.offsets[t + 1], self.docs
+        b = (min(at, stop - 1) - begin) // BLOCK
+        while (nxt := begin + (b + 1) * BLOCK) < stop and docs[nxt] <= doc:
             b += 1
         return b
 
-    def _block(self, t: int, at: int, doc: int) -> float:
-        return self.blocks[t][self._at(t, at, doc)]
-
-    def _border(self, t: int, at: int, doc: int) -> int:
-        p, b = self.postings[t], self._at(t, at, doc) + 1
-        return p[b * BLOCK][0] if b * BLOCK < len(p) else len(self.ids)
+    def _border(self, t: int, b: int) -> int:
+        at = self.offsets[t] + (b + 1) * BLOCK
+        return self.docs[at] if at < self.offsets[t + 1] else len(self.ids)
+
+    def shared(self, passage: list[int], hits: set[int]) -> set[int]:
+        """Those of ``hits`` that have ``run`` consecutive words of the passage: by hash, then word by word."""
+        run, out = self.run, set()
+        hashes = _hashes(np.array(passage), run)
+        low, high = np.searchsorted(self.grams, hashes, "left"), np.searchsorted(self.grams, hashes, "right")
+        for k in np.flatnonzero(high > low):
+            wanted = array("i", passage[k : k + run])
+            for place in self.places[low[k] : high[k]].tolist():
+                d = bisect_right(self.starts, place) - 1
+                if d in hits and d not in out and self.tokens[place : place + run] == wanted:
+                    out.add(d)
+        return out
 
     def search(self, text: str) -> set[int]:
         """Ids of the items of which the text has ``run`` consecutive words.
@@ -123,9 +175,8 @@ class Index:
                 terms = set(passage)
                 if sum(most[t] for t in terms) < self.threshold:
                     continue
-                if hits := [d for d in self.wand(terms) if self.ids[d] not in found]:
-                    grams = {tuple(passage[i : i + run]) for i in range(len(passage) - run + 1)}
-                    found.update(self.ids[d] for d in hits if not grams.isdisjoint(self.grams[d]))
+                if hits := {d for d in self.wand(terms) if self.ids[d] not in found}:
+                    found.update(self.ids[d] for d in self.shared(passage, hits))
         return found
 
     def known(self, flags: bytes):
@@ -149,7 +200,8 @@ def find_leaks(
     chosen = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     size = chosen.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     blocks = -(-size // MAX_INDEX_TEXT) or 1
-    kind = docs.schema[key].dataType.simpleString()
+    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_key].dataType)
     result = None
     for b in range(blocks):
         part = chosen if blocks == 1 else chosen.where(F.expr(f"pmod(xxhash64(i), {blocks}) = {b}"))
@@ -164,9 +216,9 @@ def find_leaks(
                         out["k"].append(k)
                         out["i"].append(i)
                 yield pa.RecordBatch.from_pydict(
-                    {key: pa.array(out["k"], batch.schema.field(0).type), item_key: pa.array(out["i"], pa.int64())}
+                    {key: pa.array(out["k"], batch.schema.field(0).type), item_key: pa.array(out["i"], item_type)}
                 )
 
-        found = docs.select(key, text).mapInArrow(probe, f"`{key}` {kind}, `{item_key}` bigint")
+        found = docs.select(key, text).mapInArrow(probe, f"`{key}` {kind}, `{item_key}` {item_kind}")
         result = found if result is None else result.unionByName(found)
     return result.distinct()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.sources.lineage import share
+from folio.sources.tables import BROADCAST_BYTES, known_size
+
 #: Fixed value: modulus of the multiset hash (a Mersenne prime, so that sums stay below 2**63).
 PRIME = (1 << 61) - 1
 SALTS = 8
@@ -41,9 +44,10 @@ def copy_groups(
     normalized fields and translation. NULL text: no row. NULL translation only equals NULL. A text of
     nothing but signs is a copy of any other such text. Rows with a NULL key are dropped, equal keys count once.
 
-    A row is its fingerprint (two multiset hashes of the fields, one of the translation) when groups are
-    formed; fields are compared only within groups of two or more. A hot group is split into SALTS parts,
-    each of which gets the group's smallest key.
+    A row is its fingerprint (two multiset hashes of the fields, one of the translation) in a first pass, which
+    combines 32 bytes a row before they are shuffled. The groups of two or more are sent to every executor if they
+    are few enough, and a second pass keeps the fields of their members, the only ones that move; beyond that size
+    rows meet their group by a shuffle. A hot group is split into SALTS parts, each of which gets the group's first row.
     """
     t = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(translation).alias("tr"), F.col(kind).alias("kind"))
     t = t.where("t IS NOT NULL AND k IS NOT NULL").select(
@@ -52,14 +56,17 @@ def copy_groups(
     t = t.select("k", "f", "tr", multiset_hash("f", 1).alias("h1"), multiset_hash("f", 2).alias("h2"),
                  F.when(F.col("tr").isNull(), F.lit(0)).otherwise(F.xxhash64("tr")).alias("h3"))
     groups = t.groupBy("h1", "h2", "h3").agg(F.min("k").alias("first_id"), F.max("k").alias("last")).where("first_id < last")
-    groups = groups.drop("last").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = t.withColumn("salt", F.expr(f"pmod(k, {SALTS})")).join(groups, ["h1", "h2", "h3", "salt"])
-    members = members.select("first_id", "k", "f", "tr", "salt")
-    first = members.where("k = first_id").select(
-        "first_id", F.col("f").alias("f0"), F.col("tr").alias("tr0"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-    )
-    first = first.dropDuplicates(["first_id", "salt"])
+    groups = share(groups.drop("last"))
+    groups.count()  # its size decides the join
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = t.withColumn("salt", F.expr(f"cast(pmod(xxhash64(k), {SALTS}) AS int)"))
+    if known_size(groups) <= BROADCAST_BYTES:
+        members = salted.join(F.broadcast(groups), ["h1", "h2", "h3"])
+    else:
+        members = salted.join(groups.select("*", salts), ["h1", "h2", "h3", "salt"])
+    members = share(members.select("first_id", "k", "f", "tr", "salt"))
+    first = members.where("k = first_id").select("first_id", F.col("f").alias("f0"), F.col("tr").alias("tr0"))
+    first = first.dropDuplicates(["first_id"]).select("*", salts)
     checked = (
         members.where("k <> first_id").join(first, ["first_id", "salt"])
         .withColumn("same", same_multiset("f", "f0") & F.expr("tr <=> tr0"))

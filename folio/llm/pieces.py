@@ -33,6 +33,26 @@ def _bounds(text: str, level: int) -> list[int]:
     return [m.end() for m in _GAP.finditer(text)] if level == 2 else []
 
 
+def _characters(text: str, a: int, b: int, room: int, overlap: int) -> list[int]:
+    """Cuts between characters as a reader sees them; where possible the overlap begins between such as well.
+
+    A letter and the marks combined with it, or a joined emoji, is one. One that is longer than a piece may be cut.
+    """
+    if text[a:b].isascii():
+        return list(range(a + 1, b))
+    import regex
+
+    begin = max(0, a - overlap)
+    whole = [begin + m.end() for m in regex.finditer(r"\X", text[begin:b])]
+    known = set(whole)
+    at = [x for x in whole if a < x < b]
+    both = [x for x in at if x - overlap <= begin or x - overlap in known]
+    for chosen in (both, at):
+        if all(q - p <= room for p, q in pairwise([a, *chosen, b])):
+            return chosen
+    return list(range(a + 1, b))
+
+
 def coarsest(text: str, limit: int) -> tuple[int, list[list[int]]]:
     """The coarsest kind of boundary that leaves no piece over the limit, and the boundaries of each kind up to it."""
     found: list[list[int]] = []
@@ -62,7 +82,7 @@ def cuts(text: str, limit: int = 2500, overlap: int = 200) -> tuple[str, list[in
             more = _bounds(text, finer)
             kind |= {x: finer for a, b in wide for x in more if a < x < b}
         else:
-            kind |= {x: 3 for a, b in wide for x in range(a + 1, b)}
+            kind |= {x: 3 for a, b in wide for x in _characters(text, a, b, room, overlap)}
     at = np.array([0, *sorted(kind), n])
     fine = np.array([0.0, *(PENALTY[kind[x]] for x in sorted(kind)), 0.0])
     pieces = max(2, -(-(n - overlap) // room))

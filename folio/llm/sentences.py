@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.sources.lineage import share
+
 #: Quotation marks that open and close, marks that end a sentence.
 PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "‘": "’", '"': '"'}
 CLOSERS = "”“»」』’\"')]）】"
@@ -37,7 +39,7 @@ _EVENT = re.compile(
     r"[.!?…。！？｡．]+|[“”„«»「」『』\"]|\n[^\S\n]*\n\s*|(?<=\S)\s+(?=[฀-๿])"
 )
 _BLANK = re.compile(r"\s*")
-_LATIN_TAIL = re.compile(r"[^\s“„«「『\"'(\[¿¡]+$")
+_OPENING = "“„«「『\"'([¿¡"
 _TOKEN = re.compile(r"[^\s]+")
 _STRIP = "“”„«»「」『』‘’\"'()[]{}¿¡!?,;:…（）【】<>*•–—-"
 THAI = re.compile(r"[฀-๿]")
@@ -162,8 +164,11 @@ def scan(text: str) -> list[tuple[int, str, str, str]]:
             found.append((nxt, "sure", "", ""))
             start = pos = nxt
             continue
-        prev, after = _LATIN_TAIL.search(text[max(start, i - 40) : i]), _TOKEN.match(text, nxt)
-        before = prev.group().strip(_STRIP).lower() if prev else ""
+        j = i  # the whole word before the period, however long
+        while j > start and not (text[j - 1].isspace() or text[j - 1] in _OPENING):
+            j -= 1
+        after = _TOKEN.match(text, nxt)
+        before = text[j:i].strip(_STRIP).lower()
         lead = text[max(0, i - len(before) - 2) : i - len(before)]
         number_before = bool(before) and len(before) <= 2 and re.search(r"[\d%]\s?$", lead) is not None
         if number_before:
@@ -249,7 +254,8 @@ def learn(df: DataFrame, found: DataFrame, text: str = "text", lang: str = "lang
     )
     types = typed.groupBy("lang", "type").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.count_if("dot").cast("double").alias("dots")
-    ).persist()
+    )
+    types = share(types)
     totals = types.groupBy("lang").agg(F.sum("n").alias("all"), F.sum("dots").alias("all_dots"))
     types = types.join(F.broadcast(totals), "lang")  # one row for each language
     # Abbreviations: nearly always with a period, short, with inner periods, weighed down by uses without one.
@@ -300,8 +306,8 @@ def sentence_starts(df: DataFrame, key: str = "block_id", text: str = "text", la
     A period after an abbreviation or an initial ends a sentence only before a sentence starter (or an
     opening mark); a period inside a collocation doesn't, unless its second word is a starter.
     """
-    found = _candidates(df, key, text, lang).persist()
-    model = {name: table.persist() for name, table in learn(df, found, text, lang).items()}
+    found = share(_candidates(df, key, text, lang))
+    model = {name: share(table) for name, table in learn(df, found, text, lang).items()}
     flag = lambda name, col: model[name].withColumn(col, F.lit(True))
     judged = (
         found.where("NOT sure").join(flag("abbreviations", "abbr"), ["lang", "before"], "left")
