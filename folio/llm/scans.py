@@ -290,10 +290,10 @@ def end_words(ends: DataFrame) -> DataFrame:
 def _read(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Noise, running lines, hyphened line ends, all tokens, and the tokens that are misread with their right form."""
     lines = share(scan_lines(blocks))
-    noise = cut(furniture(lines))  # plans of what is persisted nest; these two cuts keep them small
+    noise = cut(furniture(lines))  # plans of what is persisted nest, which the driver has to hold: these cuts keep them small
     text = cut(running(lines, noise))
-    inner = share(tokens(text))
-    ends = share(broken_words(text, inner))
+    inner = cut(tokens(text))
+    ends = cut(broken_words(text, inner))
     none = F.lit(None)
     inner = inner.withColumns({"half": none.cast("int"), "after_block": none.cast("bigint"), "after_no": none.cast("int")})
     words = inner.unionByName(end_words(ends))
