@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import alignment, bpe, defects, langid, leaks, lookalike, multiset, pieces, scans, sentences
-from folio.sources import load, reading_text, spread
+from folio.sources import attach, load, reading_text, spread
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     papers = load(spark, d, "papers").where("mode = 'parallel'").select("doc_id", F.concat_ws(">", "lang", "target_lang").alias("pair"))
     blocks = load(spark, d, "blocks").where("type = 'paragraph' AND translation IS NOT NULL AND text_override IS NOT NULL")
     both = blocks.select("doc_id", "block_id", F.col("text_override").alias("source"), F.col("translation").alias("target"))
-    pairs = spread(both.join(papers, "doc_id").drop("doc_id"))
+    pairs = attach(spread(both), papers, "doc_id", "block_id").drop("doc_id")
     return alignment.align(pairs, alignment.learn_concepts(pairs))
 
 
@@ -37,7 +37,7 @@ def _defects(spark: SparkSession, d: str) -> DataFrame:
     papers = load(spark, d, "papers").select("doc_id", F.col("lang").alias("source_lang"), "target_lang")
     blocks = load(spark, d, "blocks").where("translation IS NOT NULL")
     pairs = blocks.select("doc_id", "block_id", reading_text().alias("source"), F.col("translation").alias("target"))
-    return defects.find_defects(spread(pairs.join(papers, "doc_id", "left").drop("doc_id")), _model(spark, d))
+    return defects.find_defects(attach(spread(pairs), papers, "doc_id", "block_id", "left").drop("doc_id"), _model(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,8 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     papers = load(spark, d, "papers").where("mode = 'raw'").select("doc_id", "lang")
     blocks = load(spark, d, "blocks").where("type = 'paragraph' AND text_override IS NOT NULL")
-    raw = blocks.select("doc_id", "block_id", F.col("text_override").alias("text")).join(papers, "doc_id")
+    raw = blocks.select("doc_id", "block_id", F.col("text_override").alias("text"))
+    raw = attach(spread(raw), papers, "doc_id", "block_id")
     return sentences.sentence_starts(raw.select("block_id", "lang", "text"))
 
 
@@ -87,7 +88,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     papers = load(spark, d, "papers").where("mode = 'scan'").select("doc_id", "lang")
     blocks = load(spark, d, "blocks").where("lines IS NOT NULL").select("doc_id", "page_num", "block_pos", "block_id", "lines")
-    return blocks.join(papers, "doc_id")
+    return attach(spread(blocks), papers, "doc_id", "block_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

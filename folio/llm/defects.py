@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 
 from folio.llm.glyphs import fold
 from folio.llm.langid import Model, in_script, passages
+from folio.sources.lineage import share
 
-#: Cutoffs of the posterior, validated on pairs with planted defects (tests/llm/test_defects.py).
+#: Cutoffs of the posterior; tests/llm/test_defects.py holds them against a grid of others on pairs with planted defects.
 CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copy": 0.5, "wrong_language": 0.5, "truncated": 0.5}
 #: Where several posteriors exceed their cutoffs, the first of these is the block's one defect.
 PRECEDENCE = ("empty", "refusal", "copy", "wrong_language", "truncated")
 COPY_CHARS = 20
-#: Targets of fewer letters are judged by script alone, sources of fewer characters needn't end with a mark.
-SHORT, HEADING = 25, 40
+#: A source of fewer characters needn't end with a mark. Characters of the chunks that a whole source is compared by.
+HEADING, CHUNK = 40, 8
+#: Bits by which another language must be nearer to a target: at least so many, or so many a letter.
+MARGIN, MARGIN_LETTER = 12.0, 0.15
 
 # Openings, inabilities and objects of refusals.
 OPENINGS = (
@@ -47,11 +50,7 @@ OBJECTS = (
 )
 _OPEN, _CANT, _THIS = (tuple(x.split("|")) for x in (OPENINGS, INABILITIES, OBJECTS))
 _QUOTED = re.compile(r"“[^”]*”|„[^“]*“|«[^»]*»|「[^」]*」|\"[^\"]*\"")
-#: What a log in the texts says about itself; no refusal.
-_REPORTED = re.compile(
-    r"(?:operator log|журнале оператора|protokoll zu|journal|registro|cuaderno|diario|日志|记录|記録).{0,120}?"
-    r"(?:nothing else|больше ничего|sonst nichts|rien d'autre|nada más|$)", re.IGNORECASE | re.DOTALL
-)
+_SENTENCE = re.compile(r"(?<=[.!?。！？])[\s”»」\"']*")
 _WRAP = re.compile(r"^(?:[\s`<\[(«“„\"'*_|]|OUT\]|SRC\]|CTX\])+|[\s`>\])»”“\"'*_|]+$")
 _ANCHOR = re.compile(r"\d+(?:[.,]\d+)*")
 _ALNUM = re.compile(r"[\W_]+")
@@ -66,6 +65,18 @@ def _squeezed(text: str) -> str:
     return _ALNUM.sub("", fold(text))
 
 
+def refusals(text: str) -> int:
+    """Sentences that decline, outside quotations: two of an opening, an inability and an object of the request."""
+    low = text.lower()
+    if not (_any(_CANT, low) or _any(_OPEN, low)):
+        return 0
+    found = 0
+    for x in _SENTENCE.split(_QUOTED.sub(" ", low)):
+        opening, cant = _any(_OPEN, x), _any(_CANT, x)
+        found += (opening or cant) and opening + cant + _any(_THIS, x) >= 2
+    return found
+
+
 def votes(source: str, target: str, target_lang: str | None, model: Model) -> dict:
     """Votes and features of one pair."""
     out: dict = {}
@@ -76,51 +87,47 @@ def votes(source: str, target: str, target_lang: str | None, model: Model) -> di
     core = _WRAP.sub("", plain)
     out["e_core"] = 1 if not any(map(str.isalnum, core)) else 0
 
-    # refusal
+    # refusal: a text that reports one has it in its source as well
     low = target.lower()
-    if _any(_CANT, low) or _any(_OPEN, low):
-        spoken = _REPORTED.sub(" ", _QUOTED.sub(" ", low))
-        opening, cant, this = _any(_OPEN, spoken), _any(_CANT, spoken), _any(_THIS, spoken)
-        out["r_two"] = 1 if opening + cant + this >= 2 and (cant or opening) else 0
-        out["r_cant"] = 1 if cant and this else (0 if not cant else -1)
-        sentences = [x for x in re.split(r"(?<=[.!?。])\s+", spoken) if x.strip() and len(x) < 260 and not any(map(str.isdigit, x))]
-        own = [x for x in sentences if _any(_CANT, x) or _any(_OPEN, x)]
-        out["r_own"] = 1 if any(_any(_OPEN, x) + _any(_CANT, x) + _any(_THIS, x) >= 2 for x in own) else 0
-        out["r_short"] = 1 if own and len(target) < 0.8 * len(source) else (0 if not own else -1)
-    else:
-        out["r_two"] = out["r_cant"] = out["r_own"] = out["r_short"] = 0
+    anchors, there = _ANCHOR.findall(source), set(re.sub(",", ".", " ".join(_ANCHOR.findall(target))).split())
+    have = [a.replace(",", ".") in there for a in anchors]
+    own = refusals(target)
+    out["r_own"] = int(own > refusals(source)) if own else 0
+    cant, this = _any(_CANT, low), _any(_THIS, low)
+    out["r_cant"] = 1 if cant and this else (0 if not (cant or _any(_OPEN, low)) else -1)
+    # These two read no words: what the source counts and how long it is.
+    out["r_anchors"] = -1 if len(have) < 2 or not letters else (0 if sum(have) > len(have) / 2 else (1 if not any(have) else -1))
+    ratio = len(plain) / max(1, len(source.strip()))
+    out["r_short"] = -1 if not source.strip() or not letters or 0.5 <= ratio <= 0.8 else int(ratio < 0.5)
 
-    # copy
+    # copy: chunks that cover the whole source
     out["c_whole"] = out["c_words"] = out["c_parts"] = 0
-    if len(source) >= COPY_CHARS and len(target) >= 0.5 * len(source):
+    if len(source) >= COPY_CHARS:
         s = _squeezed(source)
-        if len(s) >= 12:
+        if s:
             t = _squeezed(target)
             out["c_whole"] = int(s in t)
-            parts = [s[i : i + 12] for i in range(0, max(1, len(s) - 11), max(1, len(s) // 8))]
-            share = sum(p in t for p in parts) / len(parts)
-            out["c_parts"] = 1 if share > 0.95 else 0
-            if share > 0.3:
-                w, have = fold(source).split(), set(fold(target).split())
-                common = sum(x in have for x in w) / max(1, len(w))
+            parts = [s[i : i + CHUNK] for i in range(0, max(1, len(s) - CHUNK + 1), CHUNK)]
+            covered = sum(p in t for p in parts) / len(parts)
+            out["c_parts"] = 1 if covered >= 0.9 else (0 if covered < 0.5 else -1)
+            if covered > 0.2:
+                w, have_words = fold(source).split(), set(fold(target).split())
+                common = sum(x in have_words for x in w) / max(1, len(w))
                 out["c_words"] = 1 if common > 0.9 else (0 if common < 0.6 else -1)
 
     # language
     n = sum(map(str.isalpha, target))
     if n < 3 or not target_lang or target_lang not in model.languages:
         out["w_whole"] = out["w_margin"] = out["w_sentences"] = -1 if letters else 0
-    elif n < SHORT:  # a heading: only its script tells
-        out["w_whole"] = out["w_margin"] = int(not in_script(target_lang, target))
-        out["w_sentences"] = -1
     else:
         bits = model.bits([target])[0]
         j = model.languages.index(target_lang)
-        lang, _ = model.best(bits)
-        margin = float(bits[j] - bits.min())
-        out["w_whole"] = int(lang != target_lang)
-        out["w_margin"] = 1 if margin > max(12.0, 0.15 * n) else (0 if margin < 6.0 else -1)
-        found = passages(model, target) if lang != target_lang else []
-        if lang == target_lang:
+        other, script = int(bits.argmin()) != j, in_script(target_lang, target)
+        margin, needed = float(bits[j] - bits.min()), max(MARGIN, MARGIN_LETTER * n)
+        out["w_margin"] = 1 if margin > needed or not script else (0 if margin < needed / 2 else -1)
+        out["w_whole"] = int(other and (margin > needed or not script))
+        found = passages(model, target) if other else []
+        if not other:
             out["w_sentences"] = 0
         elif found and sum(f[1] - f[0] for f in found) > 0.4 * len(target):
             out["w_sentences"] = int(all(f[2] != target_lang for f in found))
@@ -135,8 +142,6 @@ def votes(source: str, target: str, target_lang: str | None, model: Model) -> di
     source_mark = bool(re.search(r"[.!?。！？]$", source_end))
     out["t_mark"] = 0 if mark else (1 if source_mark else (-1 if len(source) >= HEADING or not source else 0))
     out["t_cut"] = 1 if (dots or re.search(r"[-‐\xad¬(]$", end)) else (0 if mark else -1)
-    anchors, there = _ANCHOR.findall(source), set(re.sub(",", ".", " ".join(_ANCHOR.findall(target))).split())
-    have = [a.replace(",", ".") in there for a in anchors]
     out["t_tail"] = -1 if len(have) < 2 or not any(have) else int(not have[-1] and any(have))
     tail = _TAIL.search(end)
     out["last_word"] = tail.group(1).lower() if tail and not mark else None
@@ -147,24 +152,23 @@ def votes(source: str, target: str, target_lang: str | None, model: Model) -> di
 
 VOTES = {
     "empty": ("e_alnum", "e_short", "e_core"),
-    "refusal": ("r_two", "r_cant", "r_own", "r_short"),
+    "refusal": ("r_own", "r_cant", "r_anchors", "r_short"),
     "copy": ("c_whole", "c_words", "c_parts"),
     "wrong_language": ("w_whole", "w_margin", "w_sentences"),
     "truncated": ("t_mark", "t_cut", "t_tail", "t_word", "t_length"),
 }
 _FROM_TEXT = [v for names in VOTES.values() for v in names if v not in ("t_word", "t_length")]
-#: Functions that define their defect: where they vote no, the pair can't have it.
-NEEDED = {
-    "empty": ("e_alnum",), "copy": ("c_parts",), "wrong_language": ("w_margin", "w_sentences"), "refusal": ("r_two",),
-    "truncated": ("t_mark",),
-}
+#: Functions that hardly miss their defect, by what the defect is: the label model starts from so many pairs of it on which
+#: they voted yes, for each no, and goes on to learn from the data.
+SENSITIVE = {"empty": ("e_alnum",), "copy": ("c_parts",), "wrong_language": ("w_margin", "w_sentences"), "refusal": ("r_own",), "truncated": ("t_mark",)}
+SURE = 400.0
 
 
-def label_model(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 60) -> dict[tuple[int, ...], float]:
+def label_model(patterns: list[tuple[tuple[int, ...], float]], sensitive: tuple[int, ...] = (), rounds: int = 60) -> dict[tuple[int, ...], float]:
     """Posterior of each vote pattern by EM over (pattern, number of pairs); a few tens of patterns whatever the data.
 
     Starts from a vote count, with pseudo-counts that each function is rather right than wrong, which also
-    decide which of the two classes is the defect.
+    decide which of the two classes is the defect; functions at ``sensitive`` have stronger ones. No vote decides alone.
     """
     if not patterns:
         return {}
@@ -172,13 +176,14 @@ def label_model(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 60)
     n = np.array([c for _, c in patterns], float)
     yes, no = (v == 1).sum(1), (v == 0).sum(1)
     q = np.clip(0.5 + 0.45 * (yes - no) / np.maximum(1, yes + no), 0.02, 0.98)
-    prior_yes = {1: 8.0, 0: 2.0}
+    if sensitive:
+        q[(v[:, list(sensitive)] == 0).any(1)] = 0.02
     prior_no = {1: 1.0, 0: 20.0}
     for _ in range(rounds):
-        share = (n * q).sum() + 1.0
-        base = share / (n.sum() + 10.0)
+        base = ((n * q).sum() + 1.0) / (n.sum() + 10.0)
         log_yes, log_no = np.full(len(n), np.log(base)), np.full(len(n), np.log1p(-base))
         for k in range(v.shape[1]):
+            prior_yes = {1: SURE, 0: 1.0} if k in sensitive else {1: 8.0, 0: 2.0}
             py = {x: (n * q)[v[:, k] == x].sum() + prior_yes[x] for x in (1, 0)}
             pn = {x: (n * (1 - q))[v[:, k] == x].sum() + prior_no[x] for x in (1, 0)}
             ty, tn = sum(py.values()), sum(pn.values())
@@ -219,7 +224,7 @@ def pair_votes(
     t = df.where(F.col(target).isNotNull())
     pair = F.concat_ws(">", F.coalesce(F.col(source_lang), F.lit("")), F.coalesce(F.col(target_lang), F.lit("")))
     schema = f"`{key}` {kind}, pair string, `{target_lang}` string, " + ", ".join(f"{f} {k}" for f, k in fields)
-    first = t.select(key, pair.alias("pair"), source, target, target_lang).mapInArrow(run, schema).persist()
+    first = share(t.select(key, pair.alias("pair"), source, target, target_lang).mapInArrow(run, schema))
     # Words of each target language: how often a sentence ends with them (combined before they are shuffled).
     parts = F.split(F.regexp_replace(F.lower(F.col(target)), r"\s+([.!?])", "$1"), r"[^\p{L}\p{M}%°.!?。]+")
     words = t.select(F.col(target_lang).alias("l"), F.explode(parts).alias("w"))
@@ -245,16 +250,17 @@ def pair_votes(
 
 def posteriors(voted: DataFrame, key: str = "block_id") -> DataFrame:
     """``key`` and the posterior of each defect. Only counts of vote patterns (at most 3**5 a defect) reach the driver."""
-    voted = voted.persist()
+    voted = share(voted)
+    codes = {defect: F.concat_ws(",", *names) for defect, names in VOTES.items()}
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), code.alias("code")) for d, code in codes.items()])).alias("p")
+    counted: dict[str, list] = defaultdict(list)
+    for r in voted.select(each).groupBy("p.defect", "p.code").agg(F.count(F.lit(1)).alias("n")).collect():
+        counted[r["defect"]].append((tuple(map(int, r["code"].split(","))), r["n"]))
     out = voted
     for defect, names in VOTES.items():
-        counted = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()
-        model = label_model([(tuple(r[x] for x in names), r["n"]) for r in counted])
-        code = F.concat_ws(",", *names)
+        model = label_model(sorted(counted[defect]), tuple(names.index(x) for x in SENSITIVE[defect]))
         table = F.create_map(*[F.lit(x) for p, q in model.items() for x in (",".join(map(str, p)), q)]) if model else None
-        posterior = F.try_element_at(table, code) if table is not None else F.lit(0.0)
-        needed = F.when(F.array_contains(F.array(*NEEDED[defect]), 0), F.lit(0.0))
-        out = out.withColumn(defect, needed.otherwise(posterior))
+        out = out.withColumn(defect, F.try_element_at(table, codes[defect]) if table is not None else F.lit(0.0))
     return out.select(key, *VOTES)
 
 

@@ -3,7 +3,9 @@
 One variable-order byte context tree for each language, with escape probabilities (method C), trained on
 a bounded sample of labelled texts and then frozen. A word's exact code length in every language is the
 sum over its bytes; contexts begin at the blank before the word, so a word costs the same wherever it is,
-and code lengths of words are looked up once they are known.
+and code lengths of words are looked up once they are known. A plain code of letters, which knows no context,
+stands for every other language: where it is the shortest, no tree fits and the language is NULL. Sentences are
+given languages together, by the least sum of code lengths and of a cost for each change of language.
 """
 
 from __future__ import annotations
@@ -35,11 +37,18 @@ ORDER = 5
 CACHE_ENTRIES = 300_000
 #: A passage is given from so many consecutive full sentences on.
 RUN = 2
+#: Bits that a word costs beside the plain code of its letters where no tree codes it shorter (names, foreign words).
+SPELLED = 5.0
+#: Bits that a change of language between two sentences costs; bits of a letter that no training text has.
+SWITCH, UNSEEN_LETTER = 16.0, 16.0
+#: Every so many lines of the sample are left out of the trees, to fit the confidence.
+HELD_OUT = 10
 
 _FOLD = {ord(k): v for k, v in (FULL_WIDTH | LIGATURES).items()} | {c: None for c in UNSEEN}
 _PAIRS = CYRILLIC_UPPER | CYRILLIC_LOWER
 _TO_LATIN = {ord(k): v for k, v in (_PAIRS | GREEK).items()}
 _TO_CYRILLIC = {ord(v): k for k, v in _PAIRS.items() if k not in "ѕһԛԝЅԚԜ"}
+_TO_CYRILLIC |= {ord(k): _TO_CYRILLIC[ord(v)] for k, v in GREEK.items() if ord(v) in _TO_CYRILLIC}
 _WORDS = r"[^\W\d_㐀-鿿぀-ヿ฀-๿]+(?:['’][^\W\d_]+)*"
 _UNIT_ASCII = re.compile(r"[a-z]+(?:'[a-z]+)*", re.IGNORECASE)
 _UNIT_CASED = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -51,7 +60,6 @@ _IS_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _ONLY_CYRILLIC = re.compile("(?![" + "".join(_PAIRS) + r"])[Ѐ-ӿ]")
 _ONLY_LATIN = re.compile("(?![" + "".join(_PAIRS.values()) + r"])[A-Za-zÀ-ɏ]")
 _REFERENCE = re.compile(r"\s*(?:\[\d+\]|\d+\.\s.*\(\d{4}\)\.?\s*$)")
-_ASIDE = re.compile(r"\([^()]{0,80}\)")
 _ENDS = re.compile(r"[.!?…。！？][\"'”»」』)\]]*\s*$")
 
 
@@ -94,6 +102,15 @@ class Model:
         self.languages = tuple(sorted(texts))
         self.order = order
         n_lang = len(self.languages)
+        letters: Counter = Counter()
+        for words in texts.values():
+            for word, times in words.items():
+                for c in word + " ":
+                    letters[c] += times
+        total = sum(letters.values()) + len(letters) + 1
+        #: Bits of each letter in the plain code, and how many bits of code length make one bit of confidence.
+        self.letters = {c: float(-np.log2((k + 1) / total)) for c, k in letters.items()}
+        self.temperature = 1.0
         trees: list[dict[bytes, Counter]] = []
         for lang in self.languages:
             tree: dict[bytes, Counter] = defaultdict(Counter)
@@ -137,7 +154,7 @@ class Model:
             matrix.append(escape)
         self.matrix = np.array(matrix, np.float32)
         self.cache: dict[str, int] = {}
-        self.known = np.zeros((4096, n_lang), np.float32)
+        self.known = np.zeros((4096, n_lang + 1), np.float32)
 
     def _shorter(self, context: bytes, byte: int) -> int:
         tail = bytes([byte])
@@ -146,7 +163,7 @@ class Model:
         return r
 
     def word(self, word: str) -> np.ndarray:
-        """Bits of a word in every language."""
+        """Bits of a word in every language, and in the plain code of letters."""
         b, rows, escapes, at = _bytes(word), self.rows, self.escapes, []
         for i in range(1, len(b)):
             for k in range(min(self.order, i), -1, -1):
@@ -155,7 +172,9 @@ class Model:
                     break
                 if k and (r := escapes.get(b[i - k : i])) is not None:
                     at.append(r)
-        return self.matrix[at].sum(axis=0)
+        get = self.letters.get
+        plain = sum(get(c, UNSEEN_LETTER) for c in word) + get(" ", UNSEEN_LETTER)
+        return np.append(np.minimum(self.matrix[at].sum(axis=0), plain + SPELLED), plain)
 
     def _at(self, words: list[str]) -> list[int]:
         """Rows of ``known`` that hold the code lengths of words."""
@@ -176,6 +195,10 @@ class Model:
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code length of each text in every language."""
+        return self.open_bits(texts)[:, :-1]
+
+    def open_bits(self, texts: list[str]) -> np.ndarray:
+        """The same, with the plain code of letters as the last column."""
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         at, sizes = [], []
@@ -184,18 +207,38 @@ class Model:
             at += self._at(words)
             sizes.append(len(words))
         ends = np.cumsum(sizes)
-        total = np.zeros((len(at) + 1, len(self.languages)))
+        total = np.zeros((len(at) + 1, len(self.languages) + 1))
         if at:
             np.cumsum(self.known[at], axis=0, dtype=np.float64, out=total[1:])
         return total[ends] - total[ends - np.array(sizes, int)]
 
-    def best(self, bits: np.ndarray) -> tuple[str, float]:
-        """The language of the shortest code, and its share of 2**-bits among all languages."""
+    def best(self, bits: np.ndarray) -> tuple[str | None, float]:
+        """The language of the shortest code (NULL: the plain code's), and its confidence: its share of 2**-bits among all,
+        the bits divided by the temperature that fits held-out pieces of lines."""
         j = int(bits.argmin())
-        return self.languages[j], float(1.0 / np.exp2(np.clip(bits[j] - bits, -60, 0)).sum())
+        return self.name(j), float(1.0 / np.exp2(np.clip((bits[j] - bits) / self.temperature, -60, 0)).sum())
+
+    def name(self, j: int) -> str | None:
+        return self.languages[j] if j < len(self.languages) else None
+
+    def calibrate(self, lines: list[tuple[str, list[str]]]) -> None:
+        """Fits the temperature on pieces of one to six words of held-out lines by their likelihood."""
+        rows, want = [], []
+        for n, (lang, words) in enumerate(lines):
+            k = n % 6 + 1
+            for i in range(0, len(words) - k + 1, 7):
+                rows.append(self.known[self._at(words[i : i + k])].sum(axis=0))
+                want.append(self.languages.index(lang))
+        if not rows:
+            return
+        bits, at = np.array(rows, float)[:, :-1], np.array(want)
+        bits -= bits.min(axis=1, keepdims=True)
+        own = bits[np.arange(len(at)), at]
+        loss = {t: (own / t + np.log2(np.exp2(-bits / t).sum(axis=1))).mean() for t in np.geomspace(0.5, 32, 49)}
+        self.temperature = float(min(loss, key=loss.get))
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "known": np.zeros((4096, len(self.languages)), np.float32)}
+        return self.__dict__ | {"cache": {}, "known": np.zeros((4096, len(self.languages) + 1), np.float32)}
 
 
 def named(lang: Column) -> Column:
@@ -250,9 +293,17 @@ def fit(labelled: list[tuple[str, str]]) -> Model:
     for lang, words in lines:
         if len(words) >= 4:
             at = first._at(words)
-            if first.best(first.known[at].sum(axis=0))[0] == lang:
+            if first.best(first.known[at].sum(axis=0)[:-1])[0] == lang:
                 kept.append((lang, words))
-    return grow(kept or lines, ORDER)
+    kept = kept or lines
+    seen: Counter = Counter()
+    parts: tuple[list, list] = ([], [])
+    for lang, words in kept:  # every HELD_OUT-th line of a language only fits the confidence
+        seen[lang] += 1
+        parts[seen[lang] % HELD_OUT == 0].append((lang, words))
+    model = grow(parts[0], ORDER)
+    model.calibrate([x for x in parts[1] if x[0] in model.languages])
+    return model
 
 
 _QUOTED = re.compile(r"[“”„«»「」『』\"]")
@@ -284,18 +335,38 @@ def starts_of(line: str) -> list[int]:
 
 
 _THAI = re.compile(r"[฀-๿]")
+#: Letters of a Thai stretch that counts as a sentence.
+CLAUSE = 10
 
 
 def full_sentence(text: str) -> bool:
-    """Whether a piece is a full sentence: it has an end mark and isn't an entry of a list of references."""
-    return bool(_ENDS.search(text)) and not _REFERENCE.match(text) and text.strip().count(" ") + 10 * bool(_NO_BLANKS.search(text)) >= 3
-
-
-def passages(model: Model, text: str) -> list[tuple[int, int, str, float, int]]:
-    """``(start, end, lang, confidence, sentences)`` of each run of consecutive sentences of one language.
+    """Whether a piece is a full sentence: it has letters and an end mark and isn't an entry of a list of references."""
+    return bool(_ENDS.search(text)) and not _REFERENCE.match(text) and any(map(str.isalpha, text))
+
+
+def assign(bits: np.ndarray, switch: float = SWITCH) -> list[int]:
+    """Column of each row: the least sum of the rows' bits and of ``switch`` for each change of column."""
+    alone = bits.argmin(axis=1)
+    if (alone == alone[0]).all():
+        return alone.tolist()
+    total, back = bits[0].copy(), []
+    for row in bits[1:]:
+        j = int(total.argmin())
+        change = total[j] + switch
+        stays = total <= change
+        back.append(np.where(stays, np.arange(len(total)), j))
+        total = np.where(stays, total, change) + row
+    out = [int(total.argmin())]
+    for b in reversed(back):
+        out.append(int(b[out[-1]]))
+    return out[::-1]
+
+
+def passages(model: Model, text: str) -> list[tuple[int, int, str | None, float, int]]:
+    """``(start, end, lang, confidence, sentences)`` of each run of consecutive sentences of one language (NULL: of none known).
 
     Lines without an end mark (headings, captions) and references aren't sentences; they don't interrupt a run.
-    Text in a script without end marks counts its stretches between blanks.
+    Thai, which has no end marks, counts its stretches between blanks from CLAUSE letters on.
     """
     found, pos = [], 0
     for line in re.split(r"(\r\n|\r|\n)", text):
@@ -303,19 +374,23 @@ def passages(model: Model, text: str) -> list[tuple[int, int, str, float, int]]:
             starts = starts_of(line)
             for a, b in zip(starts, [*starts[1:], len(line)]):
                 piece = line[a:b]
-                if full_sentence(piece) or (len(piece) > 20 and len(_THAI.findall(piece)) > 10):
-                    found.append((pos + a, pos + b, _ASIDE.sub(" ", piece) if "(" in piece else piece))
+                if full_sentence(piece) or len(_THAI.findall(piece)) > CLAUSE:
+                    found.append((pos + a, pos + b, piece))
         pos += len(line)
     if not found:
         return []
-    bits = model.bits([f[2] for f in found])
+    bits = model.open_bits([f[2] for f in found])
     out: list[list] = []
-    for (a, b, _), j, row in zip(found, bits.argmin(axis=1), bits):
+    for (a, b, _), j, row in zip(found, assign(bits), bits):
         if out and out[-1][2] == j:
             out[-1][1], out[-1][3], out[-1][4] = b, out[-1][3] + row, out[-1][4] + 1
         else:
             out.append([a, b, j, row, 1])
-    return [(a, b, model.languages[j], model.best(row)[1], n) for a, b, j, row, n in out]
+    return [(a, b, model.name(j), _share(row, j, model.temperature), n) for a, b, j, row, n in out]
+
+
+def _share(bits: np.ndarray, j: int, temperature: float) -> float:
+    return float(1.0 / np.exp2(np.clip((bits[j] - bits) / temperature, -60, 60)).sum())
 
 
 _RESULT = "lang string, confidence double, passages array<struct<start:int,end:int,lang:string,confidence:double,sentences:int>>"
@@ -324,7 +399,8 @@ _RESULT = "lang string, confidence double, passages array<struct<start:int,end:i
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, lang, confidence, passages`` of each row: the language of the whole text and of each run of sentences.
 
-    NULL texts and texts without a letter have NULL language and confidence 0, and no passages. Repeated rows
+    A language that no training text is in is NULL. NULL texts and texts without a letter have NULL language and
+    confidence 0, and no passages. Repeated rows
     are judged as often; a NULL key is kept; an empty table gives an empty one. No shuffle; the model (its size
     is bounded by the training sample) is broadcast.
     """
@@ -342,13 +418,13 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                 found = passages(m, t) if t else []
                 if t and any(map(str.isalpha, t)):
                     if found:
-                        weight: dict[str, int] = defaultdict(int)
+                        weight: dict[str | None, int] = defaultdict(int)
                         for a, b, lang, _, _ in found:
                             weight[lang] += b - a
-                        whole = max(weight, key=lambda x: (weight[x], x))
+                        whole = max(weight, key=lambda x: (weight[x], x or ""))
                         c = max(f[3] for f in found if f[2] == whole) * weight[whole] / sum(weight.values())
                     else:
-                        whole, c = m.best(m.bits([t])[0])
+                        whole, c = m.best(m.open_bits([t])[0])
                     langs.append(whole)
                     sure.append(c)
                 else:
@@ -371,6 +447,6 @@ def unnamed_languages(df: DataFrame, model: Model, key: str = "doc_id", text: st
     labelled = df.select(F.struct(F.col(key).alias("k"), named(F.col(lang)).alias("label")).alias("id"), F.col(text).alias("t"))
     found = identify(labelled, model, "id", "t").select("id", F.explode("passages").alias("p"))
     return (
-        found.where(f"p.sentences >= {RUN} AND NOT (p.lang <=> id.label)")
+        found.where(f"p.sentences >= {RUN} AND p.lang IS NOT NULL AND NOT (p.lang <=> id.label)")
         .select(F.col("id.k").alias(key), F.col("p.lang").alias("lang")).distinct()
     )

@@ -316,3 +316,58 @@ def test_languages(spark, model):
     assert got[3].lang == "ru" and got[3].confidence > 0.9 and got[5].lang is None and got[6].passages == [] and got[8].lang == "en"
     names = spark.createDataFrame([("EN",), ("en-US",), ("fr_CA",), ("rus",), ("German",), ("n/a",), ("",), (None,), ("xx",)], "l string")
     assert [r[0] for r in names.select(langid.named(F.col("l"))).collect()] == ["en", "en", "fr", "ru", "de", None, None, None, None]
+
+
+def test_languages_that_no_tree_knows_and_short_sentences(spark, model):
+    dutch = "De commissie heeft gisteren besloten dat het station gesloten blijft. Wij vergelijken het water met de oude metingen van het instituut."
+    norwegian = "Jeg vet ikke hva som skjedde med elven denne uken. Det var ingen tegn til noe under broen der."
+    docs = [(1, "en", dutch), (2, "en", norwegian), (3, "de", "The river. The old record. No salt appears."), (4, "en", EN + " " + dutch)]
+    docs += [(5, "en", "한국어 문장입니다. 또 하나의 문장입니다."), (6, "en", EN + " Zuquavexo. " + EN)]
+    df = spark.createDataFrame(docs, "doc_id bigint, lang string, text string")
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert got[1].lang is None and got[2].lang is None and got[5].lang is None
+    assert [(p.lang, p.sentences) for p in got[3].passages] == [("en", 3)]
+    assert [(p.lang, p.sentences) for p in got[4].passages] == [("en", 3), (None, 2)]
+    assert [(p.lang, p.sentences) for p in got[6].passages] == [("en", 7)]  # a name alone is no language
+    assert {tuple(r) for r in langid.unnamed_languages(df, model).collect()} == {(3, "en")}
+
+
+def test_joint_assignment_is_brute_force():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        bits = rng.uniform(0, 30, (rng.integers(1, 7), 3))
+        cost = lambda w: sum(bits[i, j] for i, j in enumerate(w)) + 9 * sum(a != b for a, b in pairwise(w))  # noqa: E731, B023
+        assert cost(langid.assign(bits, 9.0)) == pytest.approx(min(map(cost, itertools.product(range(3), repeat=len(bits)))))
+
+
+# --- pieces, tokenizer, look-alikes: odd characters
+
+
+def test_pieces_keep_characters_whole():
+    text = "a" + "e\u0301" * 2000
+    kind, at = pieces.cuts(text)
+    assert kind == "char" and all(text[b] != "\u0301" and text[max(0, b - 200)] != "\u0301" for b in at)
+    assert all(b - a <= 2300 for a, b in pairwise([200, *at, len(text)])) and pieces.cuts("\u0301" * 6000)[1]
+
+
+def test_rank_queue_above_a_quarter_million():
+    q = bpe.RankQueue(1_000_000)
+    for rank in (999_999, 5, 300_000, 5):
+        q.push(rank, rank % 7)
+    out = []
+    while (r := q.first()) >= 0:
+        out.append((r, q.take(r)))
+    assert out == [(5, [5, 5]), (300_000, [300_000 % 7]), (999_999, [999_999 % 7])]
+
+
+def test_look_alikes_by_rule(spark):
+    pairs = [("ν1", "v1"), ("𝐚b", "ab"), ("ıx", "ix"), ("Ⅳ.", "IV."), ("αx", "ax")]
+    df = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "block_id bigint, text string")
+    assert {tuple(r) for r in lookalike.look_pairs(df).collect()} == {(0, 1), (2, 3), (4, 5), (6, 7)}
+    got = {(r.class_id, r.block_id, r.forms, r.copies) for r in lookalike.look_members(df).collect()}
+    assert got == {(i - i % 2, i, 2, 1) for i in range(8)}
+    assert lookalike.look_members(df.limit(0)).count() == 0 and lookalike.canonical(df.limit(0)).count() == 0
