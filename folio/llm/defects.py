@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.glyphs import fold
-from folio.llm.langid import Model, in_script, passages
+from folio.llm.langid import Model, in_script, passages, units
 from folio.sources.lineage import share
 
 #: Cutoffs of the posterior; tests/llm/test_defects.py holds them against a grid of others on pairs with planted defects.
@@ -26,8 +26,9 @@ PRECEDENCE = ("empty", "refusal", "copy", "wrong_language", "truncated")
 COPY_CHARS = 20
 #: A source of fewer characters needn't end with a mark. Characters of the chunks that a whole source is compared by.
 HEADING, CHUNK = 40, 8
-#: Bits by which another language must be nearer to a target: at least so many, or so many a letter.
-MARGIN, MARGIN_LETTER = 12.0, 0.15
+#: Bits by which another language must be nearer to a target: at least so many, or so many a letter. One or two words may be
+#: a term or a name: they are judged by their script.
+MARGIN, MARGIN_LETTER, FEW_WORDS = 24.0, 0.15, 2
 
 # Openings, inabilities and objects of refusals.
 OPENINGS = (
@@ -124,6 +125,8 @@ def votes(source: str, target: str, target_lang: str | None, model: Model) -> di
         j = model.languages.index(target_lang)
         other, script = int(bits.argmin()) != j, in_script(target_lang, target)
         margin, needed = float(bits[j] - bits.min()), max(MARGIN, MARGIN_LETTER * n)
+        if len(units(target)) <= FEW_WORDS:
+            other, margin = not script, 0.0
         out["w_margin"] = 1 if margin > needed or not script else (0 if margin < needed / 2 else -1)
         out["w_whole"] = int(other and (margin > needed or not script))
         found = passages(model, target) if other else []
