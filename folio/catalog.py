@@ -61,6 +61,40 @@ CANON = f"trim(regexp_replace(regexp_replace(regexp_replace({NORM}, '^[0-9]{{1,4
 TOKENS = f"list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')"
 
 
+W = r"\p{L}\p{M}\p{N}_"
+_AGAIN = lambda x, pattern, to: f"regexp_replace(regexp_replace({x}, '{pattern}', '{to}', 'g'), '{pattern}', '{to}', 'g')"
+
+
+def _normalized(x: str) -> str:
+    """Runs of line ends of two or more stand as one sign while single ones become blanks."""
+    x = _AGAIN(x, rf"([{W}]+)-\s*\n\s*([{W}]+)", r"\1\2")
+    x = _AGAIN(x, rf"([{W}])-{WS}+([a-zа-яё])", r"\1-\2")
+    x = f"regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '\r\n?', chr(10), 'g')"
+    x = f"replace(replace(regexp_replace({x}, '\n\n+', chr(1), 'g'), chr(10), ' '), chr(1), chr(10) || chr(10))"
+    return _strip(x)
+
+
+ABBREVIATED = r"(?i)\b(?:e\.g|i\.e|et al|fig|figs|eq|eqs|dr|mr|mrs|ms|prof|no|nos|vs|approx|ca|p|pp)\.$"
+_APPEND = "list_concat({0}[1:len({0}) - 1], [{0}[-1] || ' ' || {1}[1]])"
+
+
+def _fold(items: str, when: str) -> str:
+    """A fold over texts: the next one joins the last where ``when`` holds of acc and x (a list of one)."""
+    return f"list_reduce(list_transform({items}, lambda p: [p]), lambda acc, x: CASE WHEN {when} THEN {_APPEND.format('acc', 'x')} ELSE list_concat(acc, x) END)"
+
+
+def _pieces(table: str, text: str, limit: int, least: int) -> str:
+    """CTEs s1..s4 over ``table`` that end with ``pieces``, as P16 makes them."""
+    marked = rf"string_split(regexp_replace({text}, '([.!?][\]\"''”’)]*)[\s\x0B]+([A-ZА-ЯЁ0-9])', '\1' || chr(2) || '\2', 'g'), chr(2))"
+    fits = f"length(acc[-1]) + length(x[1]) + 1 <= {limit}"
+    merged = f"CASE WHEN len(packed) < 2 THEN packed ELSE {_fold('packed', f'length(x[1]) < {least} AND ' + fits)} END" if least else "packed"
+    return f"""s1 AS (SELECT *, list_filter(list_transform({marked}, lambda p: {_strip('p')}), lambda p: p <> '') AS raw FROM {table}),
+s2 AS (SELECT *, CASE WHEN len(raw) < 2 THEN raw ELSE {_fold('raw', f"regexp_matches(right(acc[-1], 12), '{ABBREVIATED}')")} END AS held FROM s1),
+s3 AS (SELECT *, CASE WHEN len(held) <= 1 THEN list_filter(regexp_split_to_array({text}, '{WS}+'), lambda w: w <> '') ELSE held END AS parts FROM s2),
+s4 AS (SELECT *, CASE WHEN len(parts) < 2 THEN parts ELSE {_fold('parts', fits)} END AS packed FROM s3),
+s5 AS (SELECT *, CASE WHEN length({text}) <= {limit} THEN [{text}] WHEN len(held) <= 1 THEN packed ELSE {merged} END AS pieces FROM s4)"""
+
+
 @query(f"""WITH {B} SELECT block_id,
   {_strip("regexp_replace(translate(text, chr(13) || chr(10) || chr(173), '  '), '[ \\t\\f\\x0B]+', ' ', 'g')")} AS ws,
   translate(text, chr(13) || chr(10) || chr(173), '  ') AS span FROM b""")
@@ -75,9 +109,9 @@ def canonical_head(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d).select("block_id", T.dedup_key(F.col("text")).alias("norm"), T.running_head_key(F.col("text")).alias("canon"))
 
 
-@query()
+@query(f"WITH {B} SELECT block_id, {_normalized('text')} AS normalized FROM b")
 def normalize_texts(spark: SparkSession, d: str) -> DataFrame:
-    """P03 (look-around: tested against brute force)."""
+    """P03."""
     return blocks(spark, d).select("block_id", T.normalize_text(F.col("text")).alias("normalized"))
 
 
@@ -136,7 +170,21 @@ def repetition(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(T.repetition_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@query()
+_MARKER = r"(?:<<<\s*(?:END_)?[A-Z_][A-Z0-9_]*\s*>>>|\[/?(?:END_)?(?:CTX|SRC|OUT)\])"
+
+
+def _unwrapped(x: str) -> str:
+    """CTEs w1..w4 over table w0 that end with ``plain``, as P22 makes it of column ``x``."""
+    return rf"""w1 AS (SELECT *, regexp_replace(regexp_replace({_strip(x)}, '(?i)^\s*```(?:text|markdown)?\s*', ''), '\s*```\s*$', '') AS c FROM w0),
+w2 AS (SELECT * REPLACE ({_strip(f"regexp_replace(regexp_replace(c, '(?i)^(?:[ \t]*{_MARKER}[ \t]*(?:\n|$))+', ''), '(?i)(?:(?:^|\n)[ \t]*{_MARKER}[ \t]*)+$', '', 'g')")} AS c) FROM w1),
+w3 AS (SELECT * REPLACE ({_strip(f"regexp_replace(regexp_replace(c, '(?i){_MARKER}', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")} AS c) FROM w2),
+w4 AS (SELECT *, {_strip(f"CASE WHEN lower({_strip('string_split(c, chr(10))[1]')}) IN ('translation:', 'translated text:', 'here is the translation:', 'here''s the translation:', 'перевод:', 'вот перевод:') THEN regexp_replace(c, '^[^\n]*(?:\n|$)', '') ELSE c END")} AS plain FROM w3)"""
+
+
+@query(rf"""WITH w0 AS (SELECT block_id, translation, target_lang FROM blocks LEFT JOIN papers USING (doc_id) WHERE translation IS NOT NULL), {_unwrapped("translation")},
+p1 AS (SELECT *, {_strip("regexp_replace(plain, '[ \t]+', ' ', 'g')")} AS t FROM w4),
+p2 AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(t, '{WS}+([,.;:!?])', '\1', 'g'), '([(\[«„]){WS}+', '\1', 'g'), '([,.;:!?])([A-Za-zА-Яа-яЁё])', '\1 \2', 'g') AS t) FROM p1)
+SELECT block_id, plain, CASE WHEN target_lang = 'ru' THEN replace(regexp_replace(t, '{WS}*—{WS}*', ' — ', 'g'), '...', '…') ELSE t END AS target FROM p2""")
 def stripped_answers(spark: SparkSession, d: str) -> DataFrame:
     """P22, P23."""
     p = load(spark, d, "papers").select("doc_id", "target_lang")
@@ -185,13 +233,19 @@ def reference_entries(spark: SparkSession, d: str) -> DataFrame:
     return b.select("block_id", F.explode(T.reference_entries(texts)).alias("entry"))
 
 
-@query()
+@query(f"""WITH {B}, t AS (SELECT block_id, text FROM b WHERE text IS NOT NULL), {_pieces("t", "text", 1800, 650)}
+SELECT block_id, unnest(range(len(pieces)))::INT AS piece_no, unnest(pieces) AS piece FROM s5""")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    """P16, P17 (folds: tested against brute force): pieces of at most 1,800 characters of every block."""
+    """Pieces of at most 1,800 characters of every block."""
     return blocks(spark, d).where("text IS NOT NULL").select("block_id", F.posexplode(T.split_sentences(F.col("text"))).alias("piece_no", "piece"))
 
 
-@query()
+@query(rf"""WITH {B}, a AS (SELECT block_id, text AS whole, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n[\s\x0B]*\n'), lambda p: {_strip('p')}), lambda p: p <> '') AS ps
+  FROM b WHERE text IS NOT NULL),
+t AS (SELECT block_id, whole, len(ps) AS n, unnest(range(len(ps))) AS i, unnest(ps) AS para FROM a WHERE length(whole) > 1800 AND len(ps) > 1), {_pieces("t", "para", 1800, 600)},
+m AS (SELECT block_id, flatten(list(pieces ORDER BY i)) AS pieces FROM s5 GROUP BY block_id),
+r AS (SELECT block_id, [text] AS pieces FROM b WHERE length(text) <= 1800 UNION ALL SELECT block_id, pieces FROM m WHERE len(pieces) > 1)
+SELECT block_id, unnest(range(len(pieces)))::INT AS piece_no, unnest(pieces) AS piece FROM r""")
 def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
     """P17."""
     return blocks(spark, d).where("text IS NOT NULL").select("block_id", F.posexplode(T.split_by_paragraphs(F.col("text"))).alias("piece_no", "piece"))
@@ -359,11 +413,14 @@ def refs_state(spark: SparkSession, d: str) -> DataFrame:
     return refs.mark_references(b).select("block_id", "type")
 
 
-@query()
+@query(rf"""WITH f AS (SELECT block_id, type, len(lines) AS n, {_strip("array_to_string(list_transform(lines[1].spans, lambda s: s.text), ' ')")} AS first FROM blocks),
+k AS (SELECT *, coalesce(n > 1 AND regexp_matches(first, '(?i){P.REF_HEADINGS}') AND regexp_replace(regexp_replace(first, '(?i){P.REF_HEADINGS}', '', 'g'), '[ \t:.,;—–-]', '', 'g') = '', FALSE) AS splits FROM f)
+SELECT block_id, 0 AS part, CASE WHEN splits THEN 'reference_heading' ELSE type END AS type, CASE WHEN splits THEN 1 ELSE coalesce(n, 0) END::INT AS lines FROM k
+UNION ALL SELECT block_id, 1, 'reference', (n - 1)::INT FROM k WHERE splits""")
 def ref_heading_split(spark: SparkSession, d: str) -> DataFrame:
     """W03."""
     b = refs.split_reference_headings(load(spark, d, "blocks"))
-    return b.select("block_id", "type", F.coalesce(F.size("lines"), F.lit(0)).alias("lines"))
+    return b.select("block_id", "part", "type", F.coalesce(F.size("lines"), F.lit(0)).alias("lines"))
 
 
 @query()
@@ -423,7 +480,18 @@ def assigned_captions(spark: SparkSession, d: str) -> DataFrame:
     return figures.assign_captions(b.where("type = 'figure'"), b.where("type IN ('paragraph', 'heading')"))
 
 
-@query()
+_CHEB = "greatest(0, greatest(lb.x0, fb.x0) - least(lb.x1, fb.x1), greatest(lb.y0, fb.y0) - least(lb.y1, fb.y1))"
+_SHARED = "(CASE WHEN lb.x0 < fb.x1 AND fb.x0 < lb.x1 AND lb.y0 < fb.y1 AND fb.y0 < lb.y1 THEN (least(lb.x1, fb.x1) - greatest(lb.x0, fb.x0)) * (least(lb.y1, fb.y1) - greatest(lb.y0, fb.y0)) ELSE 0 END)"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, page_num, block_id, unnest(lines) AS l, generate_subscripts(lines, 1) - 1 AS line_no FROM blocks WHERE lines IS NOT NULL),
+x AS (SELECT doc_id, page_num, block_id, line_no::INT AS line_no, l.bbox AS lb, {_strip("regexp_replace(array_to_string(list_transform(list_sort(list_transform(l.spans, lambda s, i: {'x': round(s.bbox.x0, 3), 'i': i, 't': s.text})), lambda s: s.t), ''), '[ \t\n\r]+', ' ', 'g')")} AS t FROM l),
+f AS (SELECT doc_id, page_num, bbox AS fb FROM blocks WHERE type IN ('figure', 'table')),
+j AS (SELECT *, {_CHEB} AS gap, {_SHARED} AS shared, (lb.x1 - lb.x0) * (lb.y1 - lb.y0) AS area FROM x JOIN f USING (doc_id, page_num))
+SELECT DISTINCT block_id, line_no FROM j WHERE (area > 0 AND shared / area >= 0.6)
+  OR ((lb.x0 + lb.x1) / 2 BETWEEN fb.x0 - 2 AND fb.x1 + 2 AND (lb.y0 + lb.y1) / 2 BETWEEN fb.y0 - 2 AND fb.y1 + 2)
+  OR (t <> '' AND length(t) <= 60 AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '(?i)^\s*(?:рисунок|рис\.?|figure|fig\.?|табл[\p{{L}}]*|table|схема|scheme|график|chart|diagram|диаграмма)\s*[0-9]')
+    AND NOT regexp_matches(t, '(?i)^\s*(?:table|fig\.?|figure|рис|схема|scheme)([^\p{{L}}\p{{N}}_]|$)') AND gap <= 14 AND least(lb.x1, fb.x1) - greatest(lb.x0, fb.x0) >= greatest(1.0, lb.x1 - lb.x0) * 0.5)""")
 def line_drop(spark: SparkSession, d: str) -> DataFrame:
     """Lines that belong to a figure or table of their page."""
     b = load(spark, d, "blocks")
@@ -443,13 +511,44 @@ def columns_1d(spark: SparkSession, d: str) -> DataFrame:
     return b.select("block_id", found.alias("c")).select("block_id", F.size("c").alias("columns"), F.round(F.array_min("c"), 6).alias("leftmost"))
 
 
+@query(rf"""WITH l AS (SELECT doc_id, page_num, unnest(lines) AS l FROM blocks WHERE type NOT IN ('table', 'figure', 'empty', 'reference', 'reference_heading', 'metadata')),
+x AS (SELECT doc_id, page_num, s.bbox.x0 AS x FROM (SELECT doc_id, page_num, unnest(l.spans) AS s FROM l WHERE length({_strip("array_to_string(list_transform(l.spans, lambda s: s.text), '')")}) <= 60) WHERE {_strip('s.text')} <> ''),
+g AS (SELECT *, CASE WHEN x - lag(x) OVER w <= 15 THEN 0 ELSE 1 END AS s FROM x WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY x)),
+c AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page_num ORDER BY x RANGE UNBOUNDED PRECEDING) AS c FROM g),
+m AS (SELECT doc_id, page_num, c, avg(x) AS mean FROM c GROUP BY doc_id, page_num, c HAVING count(*) >= 2), p AS (SELECT doc_id, page_num, list(mean ORDER BY mean) AS m FROM m GROUP BY doc_id, page_num)
+SELECT doc_id, page_num, len(k)::INT AS columns, round(list_sum(k), 3) AS total FROM (SELECT *, list_reduce(list_transform(m, lambda v: [v]), lambda a, v: CASE WHEN v[1] - a[-1] > 60 THEN list_concat(a, v) ELSE a END) AS k FROM p)""")
+def page_columns(spark: SparkSession, d: str) -> DataFrame:
+    """W08."""
+    total = F.round(F.aggregate("columns", F.lit(0.0), lambda a, v: a + v), 3)
+    return tables.columns_by_x(load(spark, d, "blocks")).select("doc_id", "page_num", total.alias("total"), F.size("columns").alias("columns"))
+
+
+@query("""SELECT block_id, (row_number() OVER (PARTITION BY doc_id, page_num ORDER BY CASE type WHEN 'figure' THEN 2 WHEN 'table' THEN 1 ELSE 0 END, block_pos, block_id) - 1)::INT AS block_pos FROM blocks""")
+def concatenated(spark: SparkSession, d: str) -> DataFrame:
+    """U01."""
+    b = load(spark, d, "blocks").select("doc_id", "page_num", "block_id", "block_pos", "type")
+    return layout.concatenate(b.where("type NOT IN ('table', 'figure')"), b.where("type = 'table'"), b.where("type = 'figure'")).select("block_id", "block_pos")
+
+
 @query()
 def caption_tables(spark: SparkSession, d: str) -> DataFrame:
     """Captions with aligned rows."""
     return tables.caption_tables(blocks(spark, d)).select("caption_id", "rows", F.to_json("table_data").alias("cells"))
 
 
-@query()
+@query(rf"""WITH {B}, f AS (SELECT doc_id, page_num, block_id, block_pos, type IN ('text', 'paragraph') AS plain,
+    len(regexp_extract_all(coalesce(text, ''), '[0-9]+[.,:][0-9]+|[0-9]+%|[0-9]+\.[0-9]+[eE][+-]?[0-9]+|\b[0-9]{{1,3}}(?:[,\s][0-9]{{3}})*(?:\.[0-9]+)?\b')) AS nums,
+    len(regexp_split_to_array({_strip("coalesce(text, '')")}, '\s{{3,}}|\t+')) AS cols, regexp_full_match(coalesce(text, ''), '[A-Za-zА-Яа-я][{W}\s\p{{Z}}\-()]{{0,30}}') AS label FROM b),
+l AS (SELECT *, CASE WHEN NOT plain THEN 0 WHEN NOT coalesce(lag(plain) OVER w, FALSE) THEN 1
+    WHEN coalesce((lag(nums) OVER w >= 2 AND nums >= 2) OR (lag(cols) OVER w >= 2 AND cols >= 2 AND abs(cols - lag(cols) OVER w) <= 1), FALSE) THEN 3
+    WHEN coalesce(lag(label) OVER w OR label, FALSE) THEN 2 ELSE 1 END AS link FROM f WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY block_pos, block_id)),
+p AS (SELECT doc_id, page_num, list(block_id ORDER BY block_pos, block_id) AS ids, list(link ORDER BY block_pos, block_id) AS links FROM l GROUP BY doc_id, page_num),
+r AS (SELECT *, list_reduce(list_transform(links, lambda x: {{'out': [CASE WHEN x > 0 THEN 1 ELSE -1 END], 'run': 1, 'size': 1, 'link': x}}), lambda a, x: {{
+    'out': list_concat(a.out, [CASE WHEN x.link = 0 THEN -1 WHEN x.link = 3 OR (x.link = 2 AND a.size >= 2) THEN a.run ELSE a.run + 1 END]),
+    'run': CASE WHEN x.link = 3 OR (x.link = 2 AND a.size >= 2) THEN a.run ELSE a.run + 1 END,
+    'size': CASE WHEN x.link = 3 OR (x.link = 2 AND a.size >= 2) THEN a.size + 1 ELSE 1 END, 'link': x.link}}).out AS runs FROM p),
+u AS (SELECT doc_id, page_num, unnest(ids) AS block_id, unnest(runs) AS run FROM r)
+SELECT doc_id, page_num, block_id, run::INT AS run FROM u WHERE run >= 0 QUALIFY count(*) OVER (PARTITION BY doc_id, page_num, run) >= 3""")
 def content_tables(spark: SparkSession, d: str) -> DataFrame:
     """W10."""
     return tables.content_runs(blocks(spark, d))
@@ -482,14 +581,24 @@ def mended_tables(spark: SparkSession, d: str) -> DataFrame:
     return tables.clean_tables(raw).select("block_id", F.to_json("rows").alias("cells"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, page_num, block_id, bbox AS lb, starts_with_bold FROM blocks WHERE type = 'table'), x AS (SELECT doc_id, page_num, block_id AS o, bbox AS fb FROM blocks WHERE type NOT IN ('table', 'figure')),
+bad AS (SELECT block_id FROM t JOIN x USING (doc_id, page_num) WHERE {_SHARED} > 0 AND greatest({_SHARED} / ((lb.x1 - lb.x0) * (lb.y1 - lb.y0)), {_SHARED} / ((fb.x1 - fb.x0) * (fb.y1 - fb.y0))) > 0.7)
+SELECT block_id FROM t WHERE NOT coalesce(starts_with_bold, FALSE) AND block_id NOT IN (SELECT block_id FROM bad)""")
 def validated_tables(spark: SparkSession, d: str) -> DataFrame:
     """J07."""
     b = load(spark, d, "blocks")
     return tables.validate_tables(b.where("type = 'table'"), b.where("type NOT IN ('table', 'figure')")).select("block_id")
 
 
-@query()
+_CUT = lambda gap: f"list_filter(list_transform(regexp_split_to_array({_strip('l')}, '{gap}'), lambda c: {_strip('c')}), lambda c: c <> '')"
+
+
+@query(rf"""WITH {B}, a AS (SELECT block_id, {_lines_of("text")} AS ls FROM b WHERE text IS NOT NULL),
+c AS (SELECT *, list_transform(ls, lambda l: CASE WHEN len({_CUT(r'\s{3,}|\t+')}) >= 2 THEN {_CUT(r'\s{3,}|\t+')} ELSE {_CUT(r'\s{2,}')} END) AS rows FROM a WHERE len(ls) >= 2),
+k AS (SELECT *, list_distinct(list_transform(rows, lambda r: len(r))) AS counts, len(list_filter(ls, lambda l: regexp_matches(l, '[.!?;]\s*$'))) AS ends,
+  list_sum(list_transform(ls, lambda l: length(l))) / len(ls) AS average FROM c)
+SELECT block_id, to_json(list_transform(rows, lambda r: list_resize(r, list_max(counts), ''))) AS cells FROM k
+WHERE NOT (average > 90 AND ends = 0) AND ends <= len(ls) * 0.4 AND list_min(counts) >= 2 AND len(counts) <= 2""")
 def heuristic_tables(spark: SparkSession, d: str) -> DataFrame:
     """T01."""
     return blocks(spark, d).select("block_id", tables.heuristic_table(F.col("text")).alias("t")).where("t IS NOT NULL").select("block_id", F.to_json("t").alias("cells"))
@@ -544,7 +653,30 @@ def validate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return validate.validate(_pairs(spark, d)).drop("source", "candidate", "target_lang")
 
 
-@query()
+_TURNED_DOWN = rf"""w0 AS (SELECT block_id, {TEXT} AS source, translation AS candidate, target_lang FROM blocks JOIN papers USING (doc_id) WHERE translation IS NOT NULL), {_unwrapped("candidate")},
+v1 AS (SELECT *, {_strip("coalesce(source, '')")} AS src, length({_strip("coalesce(source, '')")}) AS n, length(plain) AS m FROM w4),
+v2 AS (SELECT *, replace(lower(regexp_replace(src, '{WS}+', ' ', 'g')), 'ß', 'ss') AS a, replace(lower(regexp_replace(plain, '{WS}+', ' ', 'g')), 'ß', 'ss') AS k,
+  list_filter(list_transform(string_split(plain, chr(10)), lambda x: lower({_strip('x')})), lambda x: x <> '')[1:2] AS ls, regexp_extract_all(lower(plain), '[{W}]+') AS ws FROM v1),
+v3 AS (SELECT *, CASE WHEN len(ws) >= 12 THEN list_transform(range(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 5], ' ')) END AS grams FROM v2),
+v AS (SELECT block_id, source, candidate, m = 0 AS empty, m > 0 AND n >= 20 AND (a = k OR (contains(k, a) AND length(a) > 100 AND length(a) > length(k) * 0.8)) AS echo,
+  m > 0 AND n >= 150 AND m < greatest(30, floor(n * 0.15)) AS too_short, m > 0 AND n >= 100 AND m > floor(n * 3.2) AS too_long,
+  m > 0 AND (len(list_filter(ls, lambda x: regexp_matches(x, '^(?:analysis:|reasoning:|chain of thought:|thoughts:|translation note:|translator note:|here is the translation:|вот перевод:|анализ:|рассуждение:|объяснение:|я не могу перевести|не могу перевести)'))) > 0
+    OR regexp_matches(plain, '(?i)\b(i cannot|i can''t|i am unable|as an ai|as a language model)\b')) AS meta_response,
+  m > 0 AND coalesce((len(grams) - len(list_distinct(grams))) / len(grams) > 0.30, FALSE) AS repetition,
+  coalesce(m > 30 AND target_lang IN ('ru', 'uk', 'bg', 'sr', 'be', 'mk', 'kk', 'uz', 'ky', 'mn') AND len(regexp_extract_all(plain, '\p{{L}}')) > 0
+    AND len(regexp_extract_all(plain, '[а-яёА-ЯЁ]')) / len(regexp_extract_all(plain, '\p{{L}}')) < 0.12, FALSE) AS language_mismatch FROM v3)"""
+
+
+@query(f"WITH {_TURNED_DOWN} SELECT block_id, empty, echo, too_short, too_long, meta_response, repetition, language_mismatch, NOT (empty OR echo OR too_short OR too_long OR meta_response) AS accepted FROM v")
+def validate_flags(spark: SparkSession, d: str) -> DataFrame:
+    """V01-V05 but for numbers, which :func:`number_cases` has."""
+    names = ("empty", "echo", "too_short", "too_long", "meta_response", "repetition", "language_mismatch", "accepted")
+    return validate.validate(_pairs(spark, d)).select("block_id", *names)
+
+
+@query(f"""WITH {_TURNED_DOWN}, r AS (SELECT *, list_filter([CASE WHEN empty THEN 'empty' END, CASE WHEN echo THEN 'echo' END, CASE WHEN too_short THEN 'too_short' END, CASE WHEN too_long THEN 'too_long' END,
+  CASE WHEN meta_response THEN 'meta_response' END], lambda x: x IS NOT NULL) AS reasons FROM v)
+SELECT to_json({{'result': 'rejected', 'reasons': reasons, 'source_len': length(source), 'candidate_len': length(candidate), 'source_preview': left(source, 120)}})::VARCHAR AS value FROM r WHERE len(reasons) > 0""")
 def rejected_log(spark: SparkSession, d: str) -> DataFrame:
     """S16."""
     return validate.rejected_log(validate.validate(_pairs(spark, d)))
@@ -588,19 +720,33 @@ def wordlists(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("lang").agg(F.countDistinct(F.lower(F.trim("word"))).alias("words"))
 
 
-@query()
+_WORK = f"""{B}, k AS (SELECT *, {_normalized('text')} AS normalized FROM b WHERE type NOT IN ('figure', 'table', 'empty', 'metadata', 'reference', 'reference_heading')
+  AND length({_strip("coalesce(text, '')")}) >= 2)"""
+
+
+@query(f"""WITH {_WORK}, t AS (SELECT doc_id, block_id, normalized AS t FROM k WHERE length(trim(text)) > 20), u AS (SELECT DISTINCT doc_id, t FROM t)
+SELECT block_id FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.doc_id = t.doc_id AND length(u.t) > length(t.t) AND contains(u.t, t.t))""")
 def containment_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """J09 (normalization needs look-around: tested against brute force)."""
+    """J09."""
     return translate.contained_blocks(translate.work_list(blocks(spark, d)))
 
 
-@query()
+_PACKED = f"""{_WORK}, g AS (SELECT doc_id, list(block_id ORDER BY page_num, block_pos, block_id) AS ids,
+  list(length(normalized) ORDER BY page_num, block_pos, block_id) AS ns FROM k GROUP BY doc_id),
+f AS (SELECT *, list_reduce(list_transform(ns, lambda n: {{'out': [0], 'section': 0, 'size': n, 'n': n}}), lambda a, x: {{
+  'out': list_concat(a.out, [CASE WHEN a.size + x.n > 4000 THEN a.section + 1 ELSE a.section END]), 'section': CASE WHEN a.size + x.n > 4000 THEN a.section + 1 ELSE a.section END,
+  'size': CASE WHEN a.size + x.n > 4000 THEN x.n ELSE a.size + x.n END, 'n': x.n}}).out AS out FROM g),
+s AS (SELECT doc_id, unnest(ids) AS block_id, unnest(out)::INT AS section FROM f)"""
+
+
+@query(f"WITH {_PACKED} SELECT doc_id, block_id, section FROM s")
 def pack_sections(spark: SparkSession, d: str) -> DataFrame:
-    """W14 (a fold: tested against brute force)."""
+    """W14."""
     return translate.sections(translate.work_list(blocks(spark, d)))
 
 
-@query()
+@query(f"""WITH {_PACKED} SELECT block_id, section, right(coalesce(lag(normalized) OVER w, ''), 600) AS context_before, left(coalesce(lead(normalized) OVER w, ''), 600) AS context_after
+FROM k JOIN s USING (doc_id, block_id) WINDOW w AS (PARTITION BY doc_id, section ORDER BY page_num, block_pos, block_id)""")
 def section_context(spark: SparkSession, d: str) -> DataFrame:
     """W13."""
     work = translate.work_list(blocks(spark, d))
@@ -620,13 +766,22 @@ def run_stats(spark: SparkSession, d: str) -> DataFrame:
     return translate.run_stats(translated(spark, d))
 
 
-@query()
+@query(f"""WITH {B}, t AS (SELECT doc_id, page_num, string_agg(text, chr(10) ORDER BY block_pos, block_id) AS text FROM b WHERE type IN ('paragraph', 'heading', 'metadata', 'text', 'list') AND length(text) > 10 GROUP BY doc_id, page_num),
+{_pieces("t", "text", 6000, 0)}, c AS (SELECT doc_id, unnest(pieces) AS chunk FROM s5)
+SELECT doc_id, count(*)::BIGINT AS chunks, sum(length(chunk) // 4)::BIGINT AS tokens FROM c GROUP BY doc_id""")
 def summary_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of each paper for a summary."""
     return summary.chunk_stats(summary.summary_chunks(blocks(spark, d)))
 
 
-@query()
+@query(rf"""WITH {B}, k AS (SELECT doc_id, page_num, block_id, text FROM b WHERE type = 'paragraph' AND text IS NOT NULL),
+s0 AS (SELECT *, string_split(regexp_replace(text, '([.!?])[\s\x0B]+', '\1' || chr(2), 'g'), chr(2)) AS ss FROM k),
+s AS (SELECT doc_id, block_id, unnest(range(len(ss))) AS i, {_strip('unnest(ss)')} AS sentence FROM s0),
+w AS (SELECT doc_id, block_id, i, sentence, unnest(list_distinct(list_filter(regexp_extract_all(lower(sentence), '[{W}]+'), lambda x: length(x) >= 4))) AS w FROM s WHERE length(sentence) >= 20),
+f AS (SELECT doc_id, w, count(DISTINCT block_id) AS df FROM w GROUP BY doc_id, w), n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id),
+c AS (SELECT doc_id, block_id, i, sentence, round(avg(df / n), 9) AS score FROM w JOIN f USING (doc_id, w) JOIN n USING (doc_id) GROUP BY doc_id, block_id, i, sentence),
+m AS (SELECT doc_id, sentence, max(score) AS score FROM c GROUP BY doc_id, sentence)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, encode(sentence))::INT AS rank, sentence FROM m QUALIFY rank <= 3""")
 def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
     """X10, the extractive default."""
     return summary.extractive_summary(blocks(spark, d))
@@ -662,4 +817,4 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Classification, running heads, footers, reference headings and sections, tables, in that order."""
     from folio.plans.pipeline import post_process
 
-    return post_process(blocks(spark, d), load(spark, d, "paper_pages")).select("block_id", "type")
+    return post_process(blocks(spark, d), load(spark, d, "paper_pages")).select("block_id", "part", "type")

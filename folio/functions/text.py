@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,11 +111,45 @@ def script(left: Column, right: Column) -> Column:
     return F.when(cyr > lat, "ru").when(lat > cyr, "en").otherwise("both")
 
 
-def keeps_hyphen(prefix: Column, following: Column, words: Column | None = None) -> Column:
+def pick_words(left: Column, right: Column, lists: dict[str, Column]) -> Column:
+    """The word list of the script that most letters are of, if it has words; else all lists together (P10)."""
+    every = F.array().cast("array<string>")
+    for words in lists.values():
+        every = F.array_union(every, words)
+    chosen = F.lit(None).cast("array<string>")
+    for lang, words in lists.items():
+        chosen = F.when((script(left, right) == lang) & (F.size(words) > 0), words).otherwise(chosen)
+    return F.coalesce(chosen, every)
+
+
+#: Set by a plug-in: language -> function of a word in small letters that gives the positions of its syllable breaks.
+SYLLABLES: dict[str, Callable[[str], list[int]]] = {}
+
+
+def valid_break(left: Column, right: Column) -> Column:
+    """Whether a syllable of the joined word ends with ``left`` (P11): true if a dictionary of its script says so, false if
+    one says otherwise, NULL without a dictionary or where the word has other characters than letters."""
+    if not SYLLABLES:
+        return F.lit(None).cast("boolean")
+    known = dict(SYLLABLES)
+
+    @F.pandas_udf("boolean")
+    def judge(a: pd.Series, b: pd.Series, langs: pd.Series) -> pd.Series:
+        out = []
+        for x, y, kind in zip(a, b, langs):
+            word = ((x or "") + (y or "")).lower()
+            asked = [known[k] for k in (("ru", "en") if kind == "both" else (kind,)) if k in known] if word.isalpha() else []
+            out.append(any(len(x) in breaks(word) for breaks in asked) if asked else None)
+        return pd.Series(out, dtype="object")
+
+    return judge(left, right, script(left, right))
+
+
+def keeps_hyphen(prefix: Column, following: Column, words: Column | None = None, syllables: bool = False) -> Column:
     """Whether the hyphen at the end of ``prefix`` belongs to the word that goes on in ``following``.
 
-    Ten tests, the first that applies decides. ``words`` is an array of known words in small letters (the word
-    lists are an input, as dictionaries of syllables are an optional plug-in: its test is left out).
+    Ten tests, the first that applies decides. ``words`` is an array of known words in small letters; ``syllables`` asks
+    the plug-in's dictionaries as well, which a fold over lines can't.
     """
     parts = split_trailing_hyphen(prefix)
     left, hyphen, right, raw = parts["left"], parts["hyphen"], lstrip(following), rstrip(prefix)
@@ -128,12 +165,12 @@ def keeps_hyphen(prefix: Column, following: Column, words: Column | None = None)
         .when(left.rlike(r"\d$") | right.rlike(r"^\d"), True)
         .when(F.instr(F.lit(PUNCTUATION), head) > 0, True)
         .when(~(left.rlike(r"\p{L}$") & right.rlike(r"^\p{L}")), True)
-        .otherwise(is_compound(left, lw, rw, words))
+        .otherwise(is_compound(left, lw, rw, words, valid_break(lw, rw) if syllables else None))
     )
 
 
-def is_compound(left: Column, lw: Column, rw: Column, words: Column | None = None) -> Column:
-    """The tests of P09 on words alone: markings, single letters, known words, prefixes, function words, capitals."""
+def is_compound(left: Column, lw: Column, rw: Column, words: Column | None = None, breaks: Column | None = None) -> Column:
+    """The tests of P09 on words alone: markings, single letters, known words, prefixes, function words, syllables, capitals."""
     known = F.lit(None).cast("boolean")
     if words is not None:
         has = lambda x: F.array_contains(words, F.lower(x))
@@ -144,6 +181,7 @@ def is_compound(left: Column, lw: Column, rw: Column, words: Column | None = Non
         .when(known.isNotNull(), known)
         .when(F.lower(lw).isin(PREFIXES), True)
         .when(F.lower(rw).isin(TAILS), True)
+        .when(F.lit(False) if breaks is None else breaks.isNotNull(), F.lit(False) if breaks is None else ~breaks)
         .otherwise(rw.rlike(r"^\p{Lu}"))
     )
 

@@ -107,3 +107,11 @@ def merge_broken_blocks(blocks: DataFrame, words: Column | None = None) -> DataF
         F.array_sort(F.collect_list(F.struct("block_pos", "block_id", "text"))).alias("ts"),
     )
     return merged.select("doc_id", "page_num", "block_id", "members", join_lines(F.transform("ts", lambda x: x["text"]), words).alias("text"))
+
+
+def concatenate(texts: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
+    """Blocks of all pages with ``block_pos`` from 0: a page's texts, then its tables, then its figures, each in order."""
+    kinds = [part.withColumn("_kind", F.lit(k)) for k, part in enumerate((texts, tables, figures))]
+    every = kinds[0].unionByName(kinds[1], True).unionByName(kinds[2], True)
+    order = Window.partitionBy("doc_id", "page_num").orderBy("_kind", "block_pos", "block_id")
+    return every.withColumn("block_pos", F.row_number().over(order) - 1).drop("_kind")

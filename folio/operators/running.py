@@ -9,13 +9,8 @@ from folio.functions import predicates as P
 from folio.functions.text import dedup_key, running_head_key
 
 
-def repeating_keys(blocks: DataFrame, min_pages: int | None = None) -> DataFrame:
-    """``doc_id, key, pages``: normalized or canonical texts, or ``__pagenum__``, on enough pages of a document.
-
-    ``blocks`` has doc_id, page_num, type, table_data, text. Enough is max(3, half the pages) unless given;
-    documents of fewer than 3 pages have none. Keys of a block are exploded and counted in one aggregation;
-    no group is collected.
-    """
+def _keys_of(blocks: DataFrame) -> DataFrame:
+    """``doc_id, page_num, key``: the keys of each block that may be a running head."""
     eligible = blocks.where(P.is_eligible_for_running_head(F.col("type"), F.col("table_data"), F.col("text")))
     norm, canon = dedup_key(F.col("text")), running_head_key(F.col("text"))
     keys = F.when(norm.rlike(r"^\d{1,4}$"), F.array(F.lit("__pagenum__"))).otherwise(
@@ -24,26 +19,36 @@ def repeating_keys(blocks: DataFrame, min_pages: int | None = None) -> DataFrame
             F.when(F.length(norm).between(5, 250) & F.length(canon).between(10, 250) & (canon != norm), canon),
         ))
     )
-    seen = eligible.where("text IS NOT NULL").select("doc_id", "page_num", F.explode(keys).alias("key"))
-    counted = seen.groupBy("doc_id", "key").agg(F.countDistinct("page_num").alias("pages"))
+    return eligible.where("text IS NOT NULL").select("doc_id", "page_num", F.explode(keys).alias("key"))
+
+
+def repeating_keys(blocks: DataFrame, min_pages: int | None = None) -> DataFrame:
+    """``doc_id, key, pages``: normalized or canonical texts, or ``__pagenum__``, on enough pages of a document.
+
+    ``blocks`` has doc_id, page_num, type, table_data, text. Enough is max(3, half the pages) unless given;
+    documents of fewer than 3 pages have none. Keys of a block are exploded and counted in one aggregation;
+    no group is collected.
+    """
+    counted = _keys_of(blocks).groupBy("doc_id", "key").agg(F.countDistinct("page_num").alias("pages"))
     totals = blocks.groupBy("doc_id").agg(F.countDistinct("page_num").alias("total"))
     enough = F.greatest(F.lit(3), F.floor(F.col("total") / 2)) if min_pages is None else F.lit(min_pages)
     return counted.join(totals, "doc_id").where((F.col("total") >= 3) & (F.col("pages") >= enough)).select("doc_id", "key", "pages")
 
 
 def mark_running_heads(blocks: DataFrame, min_pages: int | None = None) -> DataFrame:
-    """Blocks whose normalized or canonical text repeats get type metadata (A01). Keeps all columns."""
+    """Blocks whose normalized or canonical text repeats get type metadata (A01). Keeps all columns.
+
+    What goes back to the blocks is one row a page, the keys of that page that repeat, so that blocks are only ever
+    shuffled by page.
+    """
     keys = repeating_keys(blocks, min_pages).select("doc_id", "key")
+    found = _keys_of(blocks).join(keys, ["doc_id", "key"], "left_semi").groupBy("doc_id", "page_num").agg(F.collect_set("key").alias("_keys"))
     norm = dedup_key(F.col("text"))
-    eligible = P.is_eligible_for_running_head(F.col("type"), F.col("table_data"), F.col("text")) & F.col("text").isNotNull()
-    keyed = blocks.withColumn("_norm", F.when(eligible, F.when(norm.rlike(r"^\d{1,4}$"), "__pagenum__").otherwise(norm)))
-    keyed = keyed.withColumn("_canon", F.when(eligible & (F.col("_norm") != "__pagenum__"), running_head_key(F.col("text"))))
-    first = keys.select("doc_id", F.col("key").alias("_norm"), F.lit(True).alias("_a"))
-    second = keys.select("doc_id", F.col("key").alias("_canon"), F.lit(True).alias("_b"))
-    joined = keyed.join(first, ["doc_id", "_norm"], "left").join(second, ["doc_id", "_canon"], "left")
-    repeats = F.coalesce("_a", F.lit(False)) | F.coalesce("_b", F.lit(False))
-    marked = joined.withColumn("type", F.when(repeats, "metadata").otherwise(F.col("type")))
-    return marked.select(*blocks.columns)
+    eligible = P.is_eligible_for_running_head(F.col("type"), F.col("table_data"), F.col("text"))
+    number = norm.rlike(r"^\d{1,4}$")
+    repeats = F.array_contains("_keys", F.when(number, "__pagenum__").otherwise(norm)) | (~number & F.array_contains("_keys", running_head_key(F.col("text"))))
+    marked = blocks.join(found, ["doc_id", "page_num"], "left")
+    return marked.withColumn("type", F.when(F.coalesce(eligible & repeats, F.lit(False)), "metadata").otherwise(F.col("type"))).select(*blocks.columns)
 
 
 def cut_footers(blocks: DataFrame) -> DataFrame:

@@ -103,37 +103,65 @@ def gutter_lines(lines: Column, gap: float = 15.0) -> Column:
     return F.coalesce(F.size(F.filter(lines, wide)), F.lit(0))
 
 
+def order_of(blocks: DataFrame) -> list[str]:
+    """Columns that order the blocks of a page; halves of a split block have a ``part``."""
+    return ["block_pos", "block_id", *(["part"] if "part" in blocks.columns else [])]
+
+
+def content_links(blocks: DataFrame, kind: Column | None = None) -> Column:
+    """How a block is tied to the one before it on its page (W10): 0 no text, 1 begins a run, 2 continues one of two or more,
+    3 continues. A window of one page."""
+    w = Window.partitionBy("doc_id", "page_num").orderBy(*order_of(blocks))
+    lag = lambda c: F.lag(c).over(w)
+    t = F.coalesce(F.col("text"), F.lit(""))
+    plain = (F.col("type") if kind is None else kind).isin("text", "paragraph")
+    nums, cols, label = F.regexp_count(t, F.lit(NUMBER_LIKE)), F.size(F.split(strip(t), P.COLUMN_GAP)), t.rlike(LABEL_LIKE)
+    facts = F.struct(plain.alias("plain"), nums.alias("nums"), cols.alias("cols"), label.alias("label"))
+    one, two = lag(facts), facts
+    strong = ((one["nums"] >= 2) & (two["nums"] >= 2)) | ((one["cols"] >= 2) & (two["cols"] >= 2) & (F.abs(two["cols"] - one["cols"]) <= 1))
+    weak = one["label"] | two["label"]
+    return (
+        F.when(~two["plain"], 0).when(~F.coalesce(one["plain"], F.lit(False)), 1).when(F.coalesce(strong, F.lit(False)), 3)
+        .when(F.coalesce(weak, F.lit(False)), 2).otherwise(1)
+    )
+
+
+def run_lengths(links: Column) -> Column:
+    """Array of (run, length of it) for the links of a page in order: a label-like block continues only a run of two."""
+    state = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("run"), F.lit(0).alias("size"))
+
+    def step(acc: Column, link: Column) -> Column:
+        goes = (link == 3) | ((link == 2) & (acc["size"] >= 2))
+        run = F.when(goes, acc["run"]).otherwise(acc["run"] + 1)
+        return F.struct(
+            F.concat(acc["out"], F.array(F.when(link > 0, run).otherwise(F.lit(-1)))).alias("out"), run.alias("run"),
+            F.when(goes, acc["size"] + 1).otherwise(F.lit(1)).alias("size"),
+        )
+
+    runs = F.aggregate(links, state, step)["out"]
+    size = lambda rs, r: F.size(F.filter(rs, lambda x: x == r))
+    sized = F.transform(F.array(runs), lambda rs: F.transform(rs, lambda r: F.struct(r.alias("run"), size(rs, r).alias("n"))))
+    return F.element_at(sized, 1)
+
+
 def content_runs(blocks: DataFrame) -> DataFrame:
     """``doc_id, page_num, block_id, run``: blocks of runs of three or more that look like rows of a table.
 
     Neighbouring text blocks of a page are tied if both have two numbers, or columns whose numbers differ by one
     at most; a label-like block continues a run of two. Links are found by a window, the label rule by a fold over
-    the page's links.
+    the page's links, carried by the same window: blocks are shuffled once.
     """
-    w = Window.partitionBy("doc_id", "page_num").orderBy("block_pos", "block_id")
-    plain = F.col("type").isin("text", "paragraph")
-    t = F.coalesce(F.col("text"), F.lit(""))
-    b = blocks.select("doc_id", "page_num", "block_id", "block_pos", plain.alias("plain"), F.regexp_count(t, F.lit(NUMBER_LIKE)).alias("nums"),
-                      F.size(F.split(strip(t), P.COLUMN_GAP)).alias("cols"), t.rlike(LABEL_LIKE).alias("label"))
-    lag = lambda c: F.lag(c).over(w)
-    strong = ((lag("nums") >= 2) & (F.col("nums") >= 2)) | ((lag("cols") >= 2) & (F.col("cols") >= 2) & (F.abs(F.col("cols") - lag("cols")) <= 1))
-    weak = lag("label") | F.col("label")
-    link = F.when(~F.col("plain"), 0).when(~F.coalesce(lag("plain"), F.lit(False)), 1).when(F.coalesce(strong, F.lit(False)), 3).when(F.coalesce(weak, F.lit(False)), 2).otherwise(1)
-    b = b.withColumn("link", link)  # 0 no text, 1 begins a run, 2 continues one of two or more, 3 continues
-    page = b.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("block_pos", "block_id", "link"))).alias("bs"))
-    state = F.struct(F.array().cast("array<struct<id:bigint,run:int>>").alias("out"), F.lit(0).alias("run"), F.lit(0).alias("size"))
-
-    def step(acc: Column, x: Column) -> Column:
-        goes = (x["link"] == 3) | ((x["link"] == 2) & (acc["size"] >= 2))
-        run = F.when(goes, acc["run"]).otherwise(acc["run"] + 1)
-        return F.struct(
-            F.concat(acc["out"], F.array(F.struct(x["block_id"].alias("id"), F.when(x["link"] > 0, run).otherwise(F.lit(-1)).alias("run")))).alias("out"),
-            run.alias("run"), F.when(goes, acc["size"] + 1).otherwise(F.lit(1)).alias("size"),
-        )
+    return _with_runs(blocks).where("_run >= 0 AND _length >= 3").select("doc_id", "page_num", "block_id", F.col("_run").alias("run"))
+
 
-    rows = page.select("doc_id", "page_num", F.inline(F.aggregate("bs", state, step)["out"])).where("run >= 0")
-    size = Window.partitionBy("doc_id", "page_num", "run")
-    return rows.withColumn("n", F.count(F.lit(1)).over(size)).where("n >= 3").select("doc_id", "page_num", F.col("id").alias("block_id"), "run")
+def _with_runs(blocks: DataFrame, kind: Column | None = None) -> DataFrame:
+    """Adds ``_run, _length`` of each block's run."""
+    whole = Window.partitionBy("doc_id", "page_num")
+    order = order_of(blocks)
+    b = blocks.withColumn("_link", content_links(blocks, kind)).withColumn("_i", F.row_number().over(whole.orderBy(*order)))
+    links = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_link")).over(whole)), lambda x: x["_link"])
+    b = b.withColumn("_at", F.get(run_lengths(links), F.col("_i") - 1))
+    return b.withColumns({"_run": F.col("_at.run"), "_length": F.col("_at.n")}).drop("_link", "_i", "_at")
 
 
 def caption_tables(blocks: DataFrame) -> DataFrame:
@@ -155,10 +183,7 @@ def caption_tables(blocks: DataFrame) -> DataFrame:
         F.min_by("block_id", "i").alias("caption_id"), (F.count(F.lit(1)) - 1).alias("rows"), G.union_agg("bbox").alias("bbox"),
         F.array_sort(F.collect_list(F.when(F.col("i") > 1, F.struct("i", "cols", "lines")))).alias("rs"),
     ).where("rows > 0")
-    columns = F.array_sort(F.aggregate(
-        F.flatten(F.transform("rs", lambda r: r["cols"])), F.array().cast("array<double>"),
-        lambda acc, c: F.when(F.exists(acc, lambda x: F.abs(c - x) <= 10), acc).otherwise(F.concat(acc, F.array(c))),
-    ))
+    columns = row_column_union(F.col("rs"))
     data = F.transform("rs", lambda r: table_row(r["lines"], F.col("columns")))
     return grouped.withColumn("columns", columns).select("doc_id", "page_num", "caption_id", "rows", "bbox", data.alias("table_data"))
 
@@ -172,33 +197,105 @@ def validate_tables(tables: DataFrame, texts: DataFrame) -> DataFrame:
     return t.where(~F.coalesce("starts_with_bold", F.lit(False))).join(x, same & over, "left_anti")
 
 
+def settle_tables(found: DataFrame, spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """``doc_id, page_num, block_id, origin, kind`` of tables found by a reader (``found``) and made of captions and rows
+    (``spans``), checked and compared with each other (J07).
+
+    Real tables are those of :func:`validate_tables`; found ones must not share 0.7 with any of ``spans`` either. Of a real pair
+    that shares 0.7 the one of ``spans`` stays. A table of ``spans`` that isn't real goes back to the text, unless a text
+    covers it to 0.9. Tables are never compared with themselves. All joins are within a page.
+    """
+    real_spans, real_found = validate_tables(spans, texts), validate_tables(found, texts.select("doc_id", "page_num", "block_id", "bbox").unionByName(spans.select("doc_id", "page_num", "block_id", "bbox")))
+
+    def without(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
+        x, y = a.alias("x"), b.select("doc_id", "page_num", F.col("bbox").alias("_box"), F.col("block_id").alias("_id")).alias("y")
+        same = (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.page_num") == F.col("y.page_num")) & (F.col("x.block_id") != F.col("y._id"))
+        return x.join(y, same & (G.overlap_ratio(F.col("x.bbox"), F.col("y._box")) > share), "left_anti")
+
+    kept_found = without(real_found, real_spans, 0.7)
+    kept_spans = without(real_spans, kept_found, 0.7)
+    back = without(spans.join(real_spans.select("block_id"), "block_id", "left_anti"), texts, 0.9)
+    row = lambda df, origin, kind: df.select("doc_id", "page_num", "block_id", F.lit(origin).alias("origin"), F.lit(kind).alias("kind"))
+    return row(kept_found, "found", "table").unionByName(row(kept_spans, "rows", "table")).unionByName(row(back, "rows", "text"))
+
+
+def columns_by_x(blocks: DataFrame, eps: float = 15.0, least: int = 2, apart: float = 60.0) -> DataFrame:
+    """``doc_id, page_num, columns``: left edges of a page's columns (W08): chains of spans of lines of at most 60 characters,
+    ``least`` of them or more, each further than ``apart`` from the one kept before it. Gaps and islands, then a fold."""
+    kinds = ("table", "figure", "empty", "reference", "reference_heading", "metadata")
+    lines = blocks.where(~F.col("type").isin(*kinds)).select("doc_id", "page_num", F.explode("lines").alias("l"))
+    short = F.length(strip(F.array_join(F.transform("l.spans", lambda s: s["text"]), ""))) <= 60
+    x = lines.where(short).select("doc_id", "page_num", F.explode("l.spans").alias("s")).where(strip(F.col("s.text")) != "").select("doc_id", "page_num", F.col("s.bbox.x0").alias("x"))
+    x = x.groupBy("doc_id", "page_num", "x").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("doc_id", "page_num").orderBy("x")
+    x = x.withColumn("c", F.sum(F.when(F.col("x") - F.lag("x").over(w) <= eps, 0).otherwise(1)).over(w))
+    c = x.groupBy("doc_id", "page_num", "c").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    page = c.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list("mean")).alias("m"))
+    kept = F.aggregate("m", F.array().cast("array<double>"), lambda a, v: F.when((F.size(a) == 0) | (v - F.element_at(a, -1) > apart), F.concat(a, F.array(v))).otherwise(a))
+    return page.select("doc_id", "page_num", kept.alias("columns"))
+
+
+def row_column_union(rows: Column) -> Column:
+    """Columns of the rows of a table: the first seen, none nearer than 10 to one before, in order."""
+    return F.array_sort(F.aggregate(
+        F.flatten(F.transform(rows, lambda r: F.coalesce(r["cols"], F.array().cast("array<double>")))), F.array().cast("array<double>"),
+        lambda acc, c: F.when(F.exists(acc, lambda x: F.abs(c - x) <= 10), acc).otherwise(F.concat(acc, F.array(c))),
+    ))
+
+
 def consolidate(blocks: DataFrame) -> DataFrame:
-    """Types and data of tables settled (W11): overlap with a found table, text heuristics, gutters, content runs,
-    captions before a table with data. ``blocks`` has the block schema plus ``text``; all joins are within a page."""
+    """Types and data of tables settled (W11). ``blocks`` has the block schema plus ``text``, and ``part`` where blocks are split.
+
+    A block that a found table covers, whose text makes rows, that has gutters or is in a run of table-like blocks is a
+    table. A caption before a table with data becomes its caption. Any other caption is a table itself: of the aligned or
+    table-like blocks that follow it, which stay in the text as well. Blocks without content are left out. Every step is a
+    window of one page or a join of its rectangles, so blocks are shuffled once, by page.
+    """
+    columns, order = blocks.columns, order_of(blocks)
     text = F.coalesce("text", F.lit(""))
+    page = Window.partitionBy("doc_id", "page_num")
+    w = page.orderBy(*order)
     rows = heuristic_table(text)
-    found = blocks.where("type = 'table'").select("doc_id", "page_num", F.col("block_id").alias("table_id"), F.col("bbox").alias("table_box"))
-    b, f = blocks.alias("b"), found.alias("f")
-    same = (F.col("b.doc_id") == F.col("f.doc_id")) & (F.col("b.page_num") == F.col("f.page_num")) & (F.col("b.block_id") != F.col("f.table_id"))
-    covered = b.join(f, same & (G.overlap_ratio(F.col("b.bbox"), F.col("f.table_box")) > 0.5), "left_semi").select("block_id", F.lit(True).alias("_covered"))
-    runs = content_runs(blocks).select("block_id", F.lit(True).alias("_run"))
-    j = blocks.join(covered, "block_id", "left").join(runs, "block_id", "left").withColumn("_rows", rows)
-    fixed = F.col("type").isin("table", "figure", "reference", "reference_heading", "metadata")
-    becomes = (
-        (F.col("_covered") & (F.col("_rows").isNotNull() | P.looks_like_table_data(text)) & (F.col("type") != "table"))
-        | (~fixed & F.col("_rows").isNotNull())
-        | (F.col("type").isin("text", "paragraph") & (F.size("lines") >= 2) & (gutter_lines(F.col("lines")) >= 2))
-        | (F.col("_run") & (F.col("type") == "text"))
-    )
-    j = j.withColumn("table_data", F.when(~fixed & F.col("_rows").isNotNull(), F.col("_rows")).otherwise(F.col("table_data")))
-    j = j.withColumn("type", F.when(F.coalesce(becomes, F.lit(False)), "table").otherwise(F.col("type")))
-    w = Window.partitionBy("doc_id", "page_num").orderBy("block_pos", "block_id")
-    caption = F.coalesce(F.col("type").isin("text", "heading", "table") & (F.coalesce(F.size("table_data"), F.lit(0)) <= 0) & P.is_table_caption(text), F.lit(False))
-    j = j.withColumn("_caption", F.when(caption, text))
-    data = (F.col("type") == "table") & (F.coalesce(F.size("table_data"), F.lit(0)) > 0)
-    j = j.withColumn("_data", data).withColumn("_before", F.lag("_caption").over(w)).withColumn("_after", F.lead("_data").over(w))
-    j = j.withColumn("caption", F.when(F.col("_data") & F.col("_before").isNotNull(), F.col("_before")).otherwise(F.col("caption")))
-    used = F.col("_caption").isNotNull() & F.coalesce("_after", F.lit(False))
-    j = j.withColumn("type", F.when(F.col("_caption").isNotNull(), "table").otherwise(F.col("type")))
+    boxes = F.collect_list(F.when(F.col("type") == "table", F.struct("block_id", "bbox"))).over(page)
+    j = blocks.withColumn("_rows", rows).withColumn("_found", boxes)
+    covered = F.exists("_found", lambda f: (f["block_id"] != F.col("block_id")) & (G.overlap_ratio(F.col("bbox"), f["bbox"]) > 0.5))
+    alike = F.col("_rows").isNotNull() | P.looks_like_table_data(text)
+    kind = F.when((F.col("type") != "table") & F.coalesce(covered, F.lit(False)) & alike, "table").otherwise(F.col("type"))
+    fixed = ("table", "figure", "reference", "reference_heading", "metadata")
+    j = j.withColumn("type", kind).drop("_found")
+    own = ~F.col("type").isin(*fixed) & F.col("_rows").isNotNull()
+    j = j.withColumn("table_data", F.when(own, F.col("_rows")).otherwise(F.col("table_data")))
+    gutters = F.col("type").isin("text", "paragraph") & (F.size("lines") >= 2) & (gutter_lines(F.col("lines")) >= 2)
+    j = j.withColumn("type", F.when(F.coalesce(own | gutters, F.lit(False)), "table").otherwise(F.col("type")))
+    j = _with_runs(j)
+    j = j.withColumn("type", F.when((F.col("type") == "text") & (F.col("_run") >= 0) & (F.col("_length") >= 3), "table").otherwise(F.col("type")))
+    # Captions: islands of a caption and what follows it, up to the first block that is no row.
+    filled = F.coalesce(F.size("table_data"), F.lit(0)) > 0
+    caption = F.coalesce(F.col("type").isin("text", "heading", "table") & ~filled & P.is_table_caption(text), F.lit(False))
+    j = j.withColumns({"_caption": caption, "_data": F.coalesce((F.col("type") == "table") & filled, F.lit(False)), "_cols": row_columns(F.col("lines"))})
+    j = j.withColumn("_island", F.sum(F.col("_caption").cast("int")).over(w))
+    island = Window.partitionBy("doc_id", "page_num", "_island")
+    inside = island.orderBy(*order)
+    j = j.withColumns({"_n": F.row_number().over(inside), "_before": F.lag(F.when(F.col("_caption"), F.col("text"))).over(w), "_after": F.lead("_data").over(w)})
+    j = j.withColumn("_ref", F.first(F.when(F.col("_n") > 1, F.col("_cols")), ignorenulls=True).over(inside))
+    fits = F.col("type").isin("text", "paragraph", "list") & (
+        (F.col("_cols").isNotNull() & columns_align(F.col("_ref"), F.col("_cols"))) | F.col("_rows").isNotNull() | P.looks_like_table_data(text)
+    )
+    j = j.withColumn("_bad", F.sum(F.when((F.col("_n") == 1) | F.coalesce(fits, F.lit(False)), 0).otherwise(1)).over(inside))
+    row = F.when((F.col("_island") > 0) & (F.col("_n") > 1) & (F.col("_bad") == 0), F.struct("_n", F.col("_cols").alias("cols"), "lines", "bbox", "text"))
+    j = j.withColumn("_follow", F.when(F.col("_caption"), F.array_sort(F.collect_list(row).over(island))))
+    j = j.withColumn("_columns", row_column_union(F.col("_follow")))
+    cells = lambda r: F.when((F.size("_columns") > 0) & r["lines"].isNotNull(), table_row(r["lines"], F.col("_columns"))).otherwise(F.array(r["text"]))
+    absorbs = F.col("_caption") & ~F.coalesce("_after", F.lit(False)) & (F.size("_follow") > 0)
+    every = F.concat(F.array("bbox"), F.transform("_follow", lambda r: r["bbox"]))
+    box = F.aggregate(every, F.col("bbox"), lambda a, b: G.union(a, b))
+    j = j.withColumns({
+        "caption": F.when(F.col("_data") & F.col("_before").isNotNull(), F.col("_before")).when(absorbs, F.col("text")).otherwise(F.col("caption")),
+        "table_data": F.when(absorbs, F.transform("_follow", cells)).otherwise(F.col("table_data")),
+        "bbox": F.when(absorbs, box).otherwise(F.col("bbox")),
+        "lines": F.when(absorbs, F.concat(F.coalesce("lines", F.array().cast(blocks.schema["lines"].dataType)), F.flatten(F.transform("_follow", lambda r: F.coalesce(r["lines"], F.array().cast(blocks.schema["lines"].dataType)))))).otherwise(F.col("lines")),
+        "type": F.when(F.col("_caption"), "table").otherwise(F.col("type")),
+    })
+    attached = F.col("_caption") & F.coalesce("_after", F.lit(False))
     empty = (F.col("type") == "empty") | ((F.col("type") == "table") & F.col("table_data").isNull() & (strip(text) == ""))
-    return j.where(~used & ~F.coalesce(empty, F.lit(False))).select(*blocks.columns)
+    return j.where(~attached & ~F.coalesce(empty, F.lit(False))).select(*columns)

@@ -14,6 +14,7 @@ from folio.functions import predicates as P
 from folio.functions.text import normalize_text, split_by_paragraphs, split_sentences
 from folio.operators import masking
 from folio.operators.validate import flags, rejects
+from folio.sources.lineage import share
 
 LANGUAGE_NAMES = {
     "ru": "Russian", "en": "English", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "zh": "Chinese", "ja": "Japanese",
@@ -95,22 +96,38 @@ def work_list(blocks: DataFrame) -> DataFrame:
     return blocks.where(P.is_translatable(F.col("type"), F.col("text"))).withColumn("normalized", normalize_text(F.col("text")))
 
 
+#: Characters of the piece of a text of one or two words that any longer text must hold.
+GRAM = 12
+
+
 def contained_blocks(blocks: DataFrame) -> DataFrame:
     """``block_id`` of blocks whose normalized text lies within a longer one of the same document.
 
-    Texts of more than 20 characters; equal texts don't contain each other. A shorter text's longest inner word is
-    a whole word of any text that contains it, so candidates meet on (document, that word), not pairwise; texts of
-    one or two words meet on the document alone.
+    Texts of more than 20 characters; equal texts don't contain each other. A shorter text's longest inner word is a
+    whole word of any text that contains it, and all its inner words are among that text's, which two 64-bit signatures
+    rule out for nearly all others. So candidates are hashes that meet on (document, word), and texts are fetched for
+    those that are left. A text of one or two words has no inner word: a piece of GRAM characters stands for it, and
+    only texts of documents that have such a text are cut into pieces.
     """
-    t = blocks.where(F.length(F.trim("text")) > 20).select("doc_id", "block_id", normalize_text(F.col("text")).alias("t"))
-    keys = t.select("doc_id", "t").distinct()
-    words = F.split("t", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    short = keys.withColumn("anchor", F.coalesce(longest, F.lit("")))
-    long = keys.select("doc_id", F.col("t").alias("long"), F.explode(F.array_union(F.array_distinct(words), F.array(F.lit("")))).alias("anchor"))
-    hit = short.join(long, ["doc_id", "anchor"]).where((F.length("long") > F.length("t")) & F.contains("long", F.col("t")))
-    return t.join(hit.select("doc_id", "t").distinct(), ["doc_id", "t"], "left_semi").select("block_id")
+    t = blocks.where(F.length(F.trim("text")) > 20).select("doc_id", "block_id", normalize_text(F.col("text")).alias("t")).where("length(t) >= 2")
+    keys = share(t.select("doc_id", "t", F.xxhash64("t").alias("id")).dropDuplicates(["doc_id", "id"]))
+    words = F.array_distinct(F.split("t", " "))
+    k = keys.withColumns({"words": words, "inner": F.expr("slice(split(t, ' '), 2, greatest(size(split(t, ' ')) - 2, 0))")})
+    sign = lambda c, seed: F.expr(f"aggregate({c}, 0L, (a, w) -> a | shiftleft(1L, CAST(pmod(xxhash64({seed}, w), 64) AS INT)))")
+    longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    n = F.length("t").alias("n")
+    short = k.where("size(inner) > 0").select("doc_id", "id", n, F.xxhash64(longest).alias("word"), sign("inner", 1).alias("s1"), sign("inner", 2).alias("s2"))
+    long = k.select("doc_id", F.col("id").alias("long"), F.length("t").alias("m"), sign("words", 1).alias("l1"), sign("words", 2).alias("l2"), F.explode("words").alias("w"))
+    long = long.withColumn("word", F.xxhash64("w")).drop("w")
+    fits = (F.col("n") < F.col("m")) & (F.expr("s1 & ~l1") == 0) & (F.expr("s2 & ~l2") == 0)
+    met = short.join(long, ["doc_id", "word"]).where(fits).select("doc_id", "id", "long")
+    few = keys.where(~F.col("t").contains(" ") | (F.size(F.split("t", " ")) <= 2)).select("doc_id", "id", F.xxhash64(F.substring("t", 2, GRAM)).alias("gram"), n)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - (GRAM - 1))), lambda i: F.xxhash64(F.substring(F.col("t"), i, F.lit(GRAM))))
+    pieces = keys.join(few.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("id").alias("long"), F.length("t").alias("m"), F.explode(F.array_distinct(grams)).alias("gram"))
+    met = met.unionByName(few.join(pieces, ["doc_id", "gram"]).where("n < m").select("doc_id", "id", "long"))
+    texts = keys.select("doc_id", F.col("id").alias("long"), F.col("t").alias("u"))
+    hit = met.join(texts, ["doc_id", "long"]).join(keys, ["doc_id", "id"]).where(F.contains("u", F.col("t"))).select("doc_id", "t").distinct()
+    return t.join(hit, ["doc_id", "t"], "left_semi").select("block_id")
 
 
 def latest_memory(tm: DataFrame) -> DataFrame:
@@ -217,7 +234,7 @@ def _answers(rows: DataFrame, name: str) -> DataFrame:
         back = masking.restore(F.col("answer"), masking.mask("chunk")["tokens"])
         done = done.withColumn("answer", F.when(P.is_short_citation(F.col("chunk")), F.col("chunk")).when(F.col("answer").isNotNull(), back))
         ok = F.col("answer").isNotNull() & (P.is_short_citation(F.col("chunk")) | ~rejects(flags(F.col("chunk"), F.col("answer"), F.col("target_lang"))))
-        return done.withColumn("ok", F.coalesce(ok, F.lit(False))).persist()
+        return share(done.withColumn("ok", F.coalesce(ok, F.lit(False))))
 
     first = ask(rows, False)
     if backend(name)[1] is None:
@@ -253,7 +270,8 @@ def translate_blocks(blocks: DataFrame, tm: DataFrame, name: str = "identity", r
     inside = contained_blocks(work).withColumn("_inside", F.lit(True))
     w = lookup(work.join(inside, "block_id", "left"), tm, "normalized")
     cheap = F.when(F.col("_inside"), "contained").when(P.is_short_citation(F.col("text")), "citation").when(F.col("cached").isNotNull(), "cached")
-    w = w.withColumn("outcome", cheap).select("doc_id", "block_id", "page_num", "block_pos", "text", "target_lang", "normalized", "cached", "outcome").persist()
+    w = w.withColumn("outcome", cheap).select("doc_id", "block_id", "page_num", "block_pos", "text", "target_lang", "normalized", "cached", "outcome")
+    w = share(w)
     packed = w.where("outcome IS NULL OR outcome = 'cached'")
     asked = with_context(packed, sections(packed)).where("outcome IS NULL")
     todo = chunks(asked.select("block_id", "target_lang", "normalized", "context_before", "context_after"))

@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators import classify, refs, render, running, tables, translate
+from folio.sources.lineage import share
 from folio.sources.tables import reading_text
 
 
 def post_process(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Classified blocks, then A01, W01, W03, W02 and W11 in that order.
 
-    ``blocks`` has the block schema plus ``text``. Every step is keyed by (doc_id, page_num) but the counting of
+    ``blocks`` has the block schema plus ``text``; ``part`` is added, 1 for the second half of a block that W03 splits. Every step is keyed by (doc_id, page_num) but the counting of
     running heads, which is an aggregation.
     """
     columns = blocks.columns
-    b = classify.classify(blocks, pages).withColumn("type", F.col("label")).select(*columns)
+    # Shared, as the keys of running heads and the sections of pages are counted over blocks that are then changed by them.
+    b = share(classify.classify(blocks, pages).withColumn("type", F.col("label")).select(*columns))
     b = running.cut_footers(running.mark_running_heads(b))
-    b = refs.split_reference_headings(b).withColumn("text", reading_text())
+    b = share(refs.split_reference_headings(b).withColumn("text", reading_text()))
     return tables.consolidate(refs.mark_references(b))
 
 
