@@ -290,9 +290,36 @@ def table_texts(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d).where("text IS NOT NULL").select("block_id", P.looks_like_table_data(t).alias("table_data"), P.is_likely_table(t).alias("likely"))
 
 
-@query()
+_FIG = r"(?i)^\s*(?:Fig(?:ure)?\.?\s*[0-9]+|Рис\.?\s*[0-9]+|Схема\s*[0-9]+)"
+_NAMED = "[A-ZА-Я][A-Za-zА-Яа-я''’\\-]+"
+_COMMON = (
+    "the and for with from that this are was not but have has had one two all can her our out day his how its let may new now old see way who did get got him hit man put say she too use mean "
+    "table value index group total score range level count percent rate sign test data type name case high low"
+)
+
+
+def _reversed(x: str) -> str:
+    hits = lambda c: f"len(list_intersect(list_distinct(regexp_extract_all(lower({c}), '[a-zA-Z]{{3,}}')), string_split('{_COMMON}', ' ')))"
+    back = f"list_aggregate(list_reverse(string_split({x}, '')), 'string_agg', '')"
+    return f"(length({x}) >= 3 AND (({hits(back)} > {hits(x)} AND {hits(back)} >= 1) OR regexp_full_match({x}, '[0-9.,]+[<>≤≥]')))"
+
+
+@query(rf"""WITH {B}, s AS (SELECT doc_id, page_num, list(font_size ORDER BY font_size) AS v FROM blocks WHERE font_size > 0 GROUP BY doc_id, page_num),
+t AS (SELECT block_id, text, {_strip('text')} AS st, {_normalized('text')} AS nt, coalesce(len(lines), 1) AS n, font_size, coalesce(v[len(v) // 2 + 1], 0) AS body,
+  regexp_replace(regexp_replace(text, '{_FIG}', ''), '^\s+', '') AS rest FROM b LEFT JOIN s USING (doc_id, page_num) WHERE text IS NOT NULL),
+f AS (SELECT *, regexp_matches(text, '{_FIG}') AND (regexp_matches(text, '{_FIG}\s*[|:.,–—-]') OR (rest <> '' AND length(text) <= 160
+    AND NOT regexp_matches(text, '(?i)(?:^|[^{W}])(?:illustrates?|shows?|depicts?|displays?|demonstrates?|presents?|изобража[{W}]*|показыва[{W}]*|иллюстрир[{W}]*)(?:[^{W}]|$)'))) AS figure_caption FROM t)
+SELECT block_id, figure_caption,
+  st <> '' AND length(st) <= 60 AND regexp_matches(st, '[0-9]') AND NOT regexp_matches(text, '(?i)^\s*(?:рисунок|рис\.?|figure|fig\.?|табл[{W}]*|table|схема|scheme|график|chart|diagram|диаграмма)\s*[0-9]')
+    AND NOT regexp_matches(st, '(?i)^\s*(?:table|fig\.?|figure|рис|схема|scheme)(?:[^{W}]|$)') AS axis_label,
+  st <> '' AND length(st) <= 80 AND NOT figure_caption AND NOT regexp_matches(st, '(?i)^\s*(?:fig\.?|figure|рис\.?|рисунок|схема|scheme|табл[{W}]*|table|график|chart|diagram|диаграмма)(?:[^{W}]|$)')
+    AND (regexp_matches(st, '[0-9]') OR (length(st) <= 12 AND regexp_full_match(st, '\(?[A-Za-zА-Яа-яЁё]{{1,12}}\)?')) OR (n <= 1 AND length(st) <= 60 AND body > 0 AND font_size <= body + 0.5)) AS figure_label,
+  nt <> '' AND length(nt) <= 140 AND (regexp_matches(nt, '^\s*(?:\(?{_NAMED}(?:\s+(?:et\s+al\.?|and\s+{_NAMED}|&\s*{_NAMED}))?\s*,?\s*(?:19|20)[0-9]{{2}}[a-z]?\)?|\(?(?:{_NAMED}(?:\s*,\s*|\s*&\s*)?)+\s*,\s*(?:19|20)[0-9]{{2}}[a-z]?\)?)[.,;]?\s*$')
+    OR regexp_matches(nt, '^\s*(?:[0-9]{{1,3}}(?:\s*[-–—,;]\s*[0-9]{{1,3}})*|\[[0-9,\-–— ]+\])\s*[.]?\s*$')
+    OR (length(nt) <= 50 AND regexp_matches(nt, '^(?:[A-Z][A-Za-z''’\-]+(?:\s+et\s+al\.?)?)(?:\s*\(?(?:19|20)[0-9]{{2}}\)?)?\.?$') AND regexp_matches(nt, '(?i)(?:19|20)[0-9]{{2}}|et\s+al'))) AS citation,
+  {_reversed('text')} AS reversed FROM f""")
 def label_predicates(spark: SparkSession, d: str) -> DataFrame:
-    """F02, F04, F05, F12, F16 (Unicode word borders: tested on literal rows)."""
+    """F02, F04, F05, F12, F16."""
     t = F.col("text")
     b = blocks(spark, d).where("text IS NOT NULL").join(C.body_medians(load(spark, d, "blocks")), ["doc_id", "page_num"], "left")
     return b.select(
@@ -537,7 +564,7 @@ def caption_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""WITH {B}, f AS (SELECT doc_id, page_num, block_id, block_pos, type IN ('text', 'paragraph') AS plain,
-    len(regexp_extract_all(coalesce(text, ''), '[0-9]+[.,:][0-9]+|[0-9]+%|[0-9]+\.[0-9]+[eE][+-]?[0-9]+|\b[0-9]{{1,3}}(?:[,\s][0-9]{{3}})*(?:\.[0-9]+)?\b')) AS nums,
+    len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[\p{{L}}\p{{M}}]', 'x', 'g'), '[0-9]+[.,:][0-9]+|[0-9]+%|[0-9]+\.[0-9]+[eE][+-]?[0-9]+|\b[0-9]{{1,3}}(?:[,\s][0-9]{{3}})*(?:\.[0-9]+)?\b')) AS nums,
     len(regexp_split_to_array({_strip("coalesce(text, '')")}, '\s{{3,}}|\t+')) AS cols, regexp_full_match(coalesce(text, ''), '[A-Za-zА-Яа-я][{W}\s\p{{Z}}\-()]{{0,30}}') AS label FROM b),
 l AS (SELECT *, CASE WHEN NOT plain THEN 0 WHEN NOT coalesce(lag(plain) OVER w, FALSE) THEN 1
     WHEN coalesce((lag(nums) OVER w >= 2 AND nums >= 2) OR (lag(cols) OVER w >= 2 AND cols >= 2 AND abs(cols - lag(cols) OVER w) <= 1), FALSE) THEN 3
@@ -574,7 +601,16 @@ def reference_tables(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+_TURN = "list_aggregate(list_reverse(string_split({0}, '')), 'string_agg', '')"
+_TURNED = f"CASE WHEN c = '' THEN c ELSE array_to_string(list_filter(list_transform(list_reverse(string_split(c, chr(10))), lambda l: coalesce({_TURN.format('l')}, '')), lambda x: {_strip('x')} <> ''), ' ') END"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, page_num, block_pos, block_id, bbox AS lb, list_transform(table_data, lambda r: list_transform(r, lambda c: {_strip("coalesce(c, '')")})) AS rows FROM blocks WHERE table_data IS NOT NULL),
+k AS (SELECT * FROM t WHERE len(rows) >= 2 AND len(rows[1]) >= 2 AND len(list_filter(flatten(rows), lambda c: c <> '')) > 0 AND block_id NOT IN (SELECT block_id FROM ({SQL["reference_tables"]}) WHERE reference)),
+w AS (SELECT *, len(list_filter(flatten(list_transform(rows[1:4], lambda r: r[1:6])), lambda c: length(c) > 1 AND {_reversed('c')})) >= 2 AS wrong FROM k),
+e AS (SELECT doc_id, page_num, block_pos AS p0, lb AS fb FROM k), bad AS (SELECT block_id FROM w JOIN e USING (doc_id, page_num) WHERE p0 < block_pos AND (
+  sqrt(pow(greatest(0, greatest(lb.x0, fb.x0) - least(lb.x1, fb.x1)), 2) + pow(greatest(0, greatest(lb.y0, fb.y0) - least(lb.y1, fb.y1)), 2)) <= 3 OR {_SHARED} >= 0.85 * (lb.x1 - lb.x0) * (lb.y1 - lb.y0)))
+SELECT block_id, to_json(CASE WHEN wrong THEN list_transform(rows, lambda r: list_transform(r, lambda c: {_TURNED})) ELSE rows END)::VARCHAR AS cells FROM w WHERE block_id NOT IN (SELECT block_id FROM bad)""")
 def mended_tables(spark: SparkSession, d: str) -> DataFrame:
     """Tables stripped and, where cells are reversed, mended."""
     raw = load(spark, d, "blocks").where("table_data IS NOT NULL").select("doc_id", "page_num", F.col("block_pos").alias("table_pos"), "block_id", "bbox", F.col("table_data").alias("rows"))
@@ -597,7 +633,7 @@ _CUT = lambda gap: f"list_filter(list_transform(regexp_split_to_array({_strip('l
 c AS (SELECT *, list_transform(ls, lambda l: CASE WHEN len({_CUT(r'\s{3,}|\t+')}) >= 2 THEN {_CUT(r'\s{3,}|\t+')} ELSE {_CUT(r'\s{2,}')} END) AS rows FROM a WHERE len(ls) >= 2),
 k AS (SELECT *, list_distinct(list_transform(rows, lambda r: len(r))) AS counts, len(list_filter(ls, lambda l: regexp_matches(l, '[.!?;]\s*$'))) AS ends,
   list_sum(list_transform(ls, lambda l: length(l))) / len(ls) AS average FROM c)
-SELECT block_id, to_json(list_transform(rows, lambda r: list_resize(r, list_max(counts), ''))) AS cells FROM k
+SELECT block_id, to_json(list_transform(rows, lambda r: list_resize(r, list_max(counts), '')))::VARCHAR AS cells FROM k
 WHERE NOT (average > 90 AND ends = 0) AND ends <= len(ls) * 0.4 AND list_min(counts) >= 2 AND len(counts) <= 2""")
 def heuristic_tables(spark: SparkSession, d: str) -> DataFrame:
     """T01."""
