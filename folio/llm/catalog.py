@@ -158,6 +158,11 @@ def _look_sql(text: str) -> str:
     return f"nfc_normalize({out})"
 
 
+def _words_sql(text: str) -> str:
+    """Runs of letters and digits of a text as a reader sees it, in small letters."""
+    return f"regexp_extract_all(translate(lower({_look_sql(text)}), 'вкмнт', 'bkmht'), '[\\p{{L}}\\p{{N}}]+')"
+
+
 _LOOKED = f"r AS (SELECT block_id, {_READINGS} AS t FROM blocks), l AS (SELECT block_id, t, {_look_sql('t')} AS k FROM r WHERE t IS NOT NULL)"
 _PLAIN = "regexp_replace(replace(lower({0}), 'ß', 'ss'), '[\\s\\p{{Z}}\\p{{P}}\\p{{Cc}}|=<>`~^¦]+', '', 'g')"
 _COPIES = f"""WITH t AS (SELECT block_id, {_PLAIN.format("translation")} AS tr, list_sort(list_filter(list_transform(
@@ -175,6 +180,10 @@ def oracle_sql() -> dict[str, str]:
         "p4_classes": f"""WITH {_LOOKED}, n AS (SELECT *, count(*) OVER (PARTITION BY k, t) AS copies, min(block_id) OVER (PARTITION BY k) AS class_id FROM l),
             m AS (SELECT k, count(DISTINCT t) AS forms FROM l GROUP BY k HAVING count(DISTINCT t) > 1)
             SELECT class_id, block_id, forms::BIGINT AS forms, copies::BIGINT AS copies FROM n JOIN m USING (k)""",
+        "p9_found": f"""WITH d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_words_sql("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+            g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+            h AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
+            SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g)""",
         "p6_found": f"{_COPIES} SELECT first_id, block_id FROM g WHERE block_id <> first_id",
         "p6_counts": f"{_COPIES} SELECT first_id, count(*)::BIGINT AS copies FROM g GROUP BY first_id HAVING count(*) > 1",
     }
