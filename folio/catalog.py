@@ -12,7 +12,7 @@ from folio.functions import predicates as P
 from folio.functions import text as T
 from folio.operators import classify as C
 from folio.operators import figures, layout, masking, refs, render, running, summary, tables, translate, validate
-from folio.sources import load, reading_text
+from folio.sources import load, reading_text, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,12 +31,17 @@ def query(sql: str | None = None):
     return add
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Rows of a large table; where a small file has fewer splits than there are cores, they are spread over all."""
+    return spread(load(spark, d, name))
+
+
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "blocks").withColumn("text", reading_text())
+    return table(spark, d, "blocks").withColumn("text", reading_text())
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    b = load(spark, d, "blocks").where("lines IS NOT NULL")
+    b = table(spark, d, "blocks").where("lines IS NOT NULL")
     return b.select("block_id", "doc_id", "page_num", F.posexplode("lines").alias("line_no", "line"))
 
 
@@ -151,7 +156,7 @@ def list_lines(spark: SparkSession, d: str) -> DataFrame:
 FROM documents WHERE text IS NOT NULL""")
 def strip_tags(spark: SparkSession, d: str) -> DataFrame:
     """P18."""
-    return load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.strip_tags(F.col("text")).alias("plain"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.strip_tags(F.col("text")).alias("plain"))
 
 
 @query()
@@ -167,7 +172,7 @@ g AS (SELECT doc_id, len(w) AS n, CASE WHEN len(w) >= 12 THEN list_transform(ran
 SELECT doc_id, round(CASE WHEN n >= 12 THEN (len(g) - len(list_distinct(g))) / len(g) ELSE 0 END::DOUBLE, 6) AS ratio FROM g""")
 def repetition(spark: SparkSession, d: str) -> DataFrame:
     """P21, A06."""
-    return load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(T.repetition_ratio(F.col("text")), 6).alias("ratio"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(T.repetition_ratio(F.col("text")), 6).alias("ratio"))
 
 
 _MARKER = r"(?:<<<\s*(?:END_)?[A-Z_][A-Z0-9_]*\s*>>>|\[/?(?:END_)?(?:CTX|SRC|OUT)\])"
@@ -188,7 +193,7 @@ SELECT block_id, plain, CASE WHEN target_lang = 'ru' THEN replace(regexp_replace
 def stripped_answers(spark: SparkSession, d: str) -> DataFrame:
     """P22, P23."""
     p = load(spark, d, "papers").select("doc_id", "target_lang")
-    b = load(spark, d, "blocks").where("translation IS NOT NULL").join(p, "doc_id", "left")
+    b = table(spark, d, "blocks").where("translation IS NOT NULL").join(p, "doc_id", "left")
     plain = T.strip_wrappers(F.col("translation"))
     return b.select("block_id", plain.alias("plain"), T.postprocess_target(plain, F.coalesce("target_lang", F.lit(""))).alias("target"))
 
@@ -205,14 +210,14 @@ def safe_names(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT doc_id, n_chars % 9000 AS s FROM documents WHERE n_chars IS NOT NULL)""")
 def format_times(spark: SparkSession, d: str) -> DataFrame:
     """P25, over numbers of characters taken as seconds."""
-    return load(spark, d, "documents").where("n_chars IS NOT NULL").select("doc_id", T.format_time(F.col("n_chars") % 9000).alias("took"))
+    return table(spark, d, "documents").where("n_chars IS NOT NULL").select("doc_id", T.format_time(F.col("n_chars") % 9000).alias("took"))
 
 
 @query("""WITH s AS (SELECT block_id, font_size, list_filter(flatten(list_transform(lines, lambda l: list_transform(l.spans, lambda s: s.size))), lambda v: v > 0) AS v FROM blocks)
 SELECT block_id, CASE WHEN font_size > 0 THEN font_size WHEN len(v) > 0 THEN list_aggregate(v, 'median') ELSE 0.0 END::DOUBLE AS size FROM s""")
 def block_fonts(spark: SparkSession, d: str) -> DataFrame:
     """P26."""
-    return load(spark, d, "blocks").select("block_id", T.block_font_size(F.col("font_size"), F.col("lines")).alias("size"))
+    return table(spark, d, "blocks").select("block_id", T.block_font_size(F.col("font_size"), F.col("lines")).alias("size"))
 
 
 @query(rf"""WITH {B} SELECT block_id, regexp_replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'),
@@ -228,7 +233,7 @@ SELECT block_id, unnest(list_transform(string_split(regexp_replace(array_to_stri
   lambda e: replace(e, chr(10), ' '))) AS entry FROM k WHERE len(k) > 0""")
 def reference_entries(spark: SparkSession, d: str) -> DataFrame:
     """P28."""
-    b = load(spark, d, "blocks").where("lines IS NOT NULL")
+    b = table(spark, d, "blocks").where("lines IS NOT NULL")
     texts = F.transform("lines", lambda x: F.array_join(F.transform(x["spans"], lambda s: s["text"]), " "))
     return b.select("block_id", F.explode(T.reference_entries(texts)).alias("entry"))
 
@@ -254,7 +259,7 @@ def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def joined_lines(spark: SparkSession, d: str) -> DataFrame:
     """P09-P13 (a fold: tested on literal rows): lines of every block as running text."""
-    b = load(spark, d, "blocks").where("lines IS NOT NULL")
+    b = table(spark, d, "blocks").where("lines IS NOT NULL")
     return b.select("block_id", T.join_lines(F.transform("lines", lambda x: T.line_text(x["spans"]))).alias("text"))
 
 
@@ -321,7 +326,7 @@ SELECT block_id, figure_caption,
 def label_predicates(spark: SparkSession, d: str) -> DataFrame:
     """F02, F04, F05, F12, F16."""
     t = F.col("text")
-    b = blocks(spark, d).where("text IS NOT NULL").join(C.body_medians(load(spark, d, "blocks")), ["doc_id", "page_num"], "left")
+    b = blocks(spark, d).where("text IS NOT NULL").join(C.body_medians(table(spark, d, "blocks")), ["doc_id", "page_num"], "left")
     return b.select(
         "block_id", P.is_figure_caption(t).alias("figure_caption"), P.looks_like_axis_label(t).alias("axis_label"),
         P.looks_like_figure_label(t, F.coalesce(F.size("lines"), F.lit(1)), F.col("font_size"), F.coalesce("body", F.lit(0.0))).alias("figure_label"),
@@ -335,7 +340,7 @@ SELECT block_id, s <> '' AND (len(list_filter(ls, lambda x: {" OR ".join(f"start
   OR regexp_matches(translation, '{P.META_ANYWHERE.replace("'", "''")}')) AS meta FROM l""")
 def meta_response(spark: SparkSession, d: str) -> DataFrame:
     """F13."""
-    return load(spark, d, "blocks").where("translation IS NOT NULL").select("block_id", P.looks_like_meta_response(F.col("translation")).alias("meta"))
+    return table(spark, d, "blocks").where("translation IS NOT NULL").select("block_id", P.looks_like_meta_response(F.col("translation")).alias("meta"))
 
 
 @query(f"""WITH {B}, e AS (SELECT doc_id, page_num, {NORM} AS n, {CANON} AS c FROM b WHERE text IS NOT NULL
@@ -355,21 +360,21 @@ def repeating_lines(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, page_num, coalesce(median(CASE WHEN v > 0 THEN v END), 12.0)::DOUBLE AS avg_font FROM s GROUP BY doc_id, page_num""")
 def page_median(spark: SparkSession, d: str) -> DataFrame:
     """A02."""
-    return C.page_medians(load(spark, d, "blocks"))
+    return C.page_medians(table(spark, d, "blocks"))
 
 
 @query("""WITH s AS (SELECT doc_id, page_num, list(font_size ORDER BY font_size) AS v FROM blocks WHERE font_size > 0 GROUP BY doc_id, page_num)
 SELECT doc_id, page_num, v[len(v) // 2 + 1] AS body FROM s""")
 def body_median(spark: SparkSession, d: str) -> DataFrame:
     """A03."""
-    return C.body_medians(load(spark, d, "blocks"))
+    return C.body_medians(table(spark, d, "blocks"))
 
 
 @query("""SELECT doc_id, page_num, min(bbox.x0) AS x0, min(bbox.y0) AS y0, max(bbox.x1) AS x1, max(bbox.y1) AS y1, count(*)::BIGINT AS n
 FROM blocks GROUP BY doc_id, page_num""")
 def page_boxes(spark: SparkSession, d: str) -> DataFrame:
     """A04."""
-    b = load(spark, d, "blocks").groupBy("doc_id", "page_num").agg(G.union_agg("bbox").alias("box"), F.count(F.lit(1)).alias("n"))
+    b = table(spark, d, "blocks").groupBy("doc_id", "page_num").agg(G.union_agg("bbox").alias("box"), F.count(F.lit(1)).alias("n"))
     return b.select("doc_id", "page_num", "box.*", "n")
 
 
@@ -446,7 +451,7 @@ SELECT block_id, 0 AS part, CASE WHEN splits THEN 'reference_heading' ELSE type
 UNION ALL SELECT block_id, 1, 'reference', (n - 1)::INT FROM k WHERE splits""")
 def ref_heading_split(spark: SparkSession, d: str) -> DataFrame:
     """W03."""
-    b = refs.split_reference_headings(load(spark, d, "blocks"))
+    b = refs.split_reference_headings(table(spark, d, "blocks"))
     return b.select("block_id", "part", "type", F.coalesce(F.size("lines"), F.lit(0)).alias("lines"))
 
 
@@ -467,7 +472,7 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def rebuilt_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks made anew from their lines."""
-    b = layout.rebuild_blocks(layout.split_groups(layout.line_rows(load(spark, d, "blocks"))))
+    b = layout.rebuild_blocks(layout.split_groups(layout.line_rows(table(spark, d, "blocks"))))
     return b.select("block_id", "grp", "text", "font_size", "font_flags", "color", "n_lines", "bbox.*")
 
 
@@ -485,7 +490,7 @@ o AS (SELECT b.block_id, figure_id, (least(b.bbox.x1, fb.x1) - greatest(b.bbox.x
 SELECT block_id, figure_id, round(ratio, 6) AS ratio FROM o WHERE ratio > 0""")
 def overlap_join(spark: SparkSession, d: str) -> DataFrame:
     """J01."""
-    b = load(spark, d, "blocks")
+    b = table(spark, d, "blocks")
     return figures.overlaps(b, b.where("type IN ('figure', 'table')")).withColumn("ratio", F.round("ratio", 6))
 
 
@@ -496,14 +501,14 @@ g AS (SELECT figure_id, caption_id, block_pos, greatest(0, greatest(fb.x0, cb.x0
 SELECT figure_id, caption_id, round(gap, 6) AS gap FROM g WHERE gap < 120 QUALIFY row_number() OVER (PARTITION BY figure_id ORDER BY gap, block_pos, caption_id) = 1""")
 def nearest_caption(spark: SparkSession, d: str) -> DataFrame:
     """J02, J03, with paragraphs and headings as candidates."""
-    b = load(spark, d, "blocks")
+    b = table(spark, d, "blocks")
     return figures.nearest_captions(b.where("type = 'figure'"), b.where("type IN ('paragraph', 'heading')")).withColumn("gap", F.round("gap", 6))
 
 
 @query()
 def assigned_captions(spark: SparkSession, d: str) -> DataFrame:
     """J03, greedy: each caption once."""
-    b = load(spark, d, "blocks")
+    b = table(spark, d, "blocks")
     return figures.assign_captions(b.where("type = 'figure'"), b.where("type IN ('paragraph', 'heading')"))
 
 
@@ -521,7 +526,7 @@ SELECT DISTINCT block_id, line_no FROM j WHERE (area > 0 AND shared / area >= 0.
     AND NOT regexp_matches(t, '(?i)^\s*(?:table|fig\.?|figure|рис|схема|scheme)([^\p{{L}}\p{{N}}_]|$)') AND gap <= 14 AND least(lb.x1, fb.x1) - greatest(lb.x0, fb.x0) >= greatest(1.0, lb.x1 - lb.x0) * 0.5)""")
 def line_drop(spark: SparkSession, d: str) -> DataFrame:
     """Lines that belong to a figure or table of their page."""
-    b = load(spark, d, "blocks")
+    b = table(spark, d, "blocks")
     lines = _lines(spark, d).select("doc_id", "page_num", "block_id", "line_no", F.col("line.bbox").alias("bbox"), T.line_text(F.col("line.spans")).alias("text"))
     return figures.lines_in_figures(lines, b.where("type IN ('figure', 'table')"))
 
@@ -533,7 +538,7 @@ m AS (SELECT block_id, c, sum(x * n) / sum(n) AS mean FROM c GROUP BY block_id,
 SELECT block_id, count(*)::INT AS columns, round(min(mean), 6) AS leftmost FROM m GROUP BY block_id""")
 def columns_1d(spark: SparkSession, d: str) -> DataFrame:
     """Chains of left edges of the lines of a block."""
-    b = load(spark, d, "blocks").where("size(lines) > 1")
+    b = table(spark, d, "blocks").where("size(lines) > 1")
     found = G.clusters_1d(F.transform("lines", lambda x: x["bbox"]["x0"]), 8.0)
     return b.select("block_id", found.alias("c")).select("block_id", F.size("c").alias("columns"), F.round(F.array_min("c"), 6).alias("leftmost"))
 
@@ -547,13 +552,13 @@ SELECT doc_id, page_num, len(k)::INT AS columns, round(list_sum(k), 3) AS total
 def page_columns(spark: SparkSession, d: str) -> DataFrame:
     """W08."""
     total = F.round(F.aggregate("columns", F.lit(0.0), lambda a, v: a + v), 3)
-    return tables.columns_by_x(load(spark, d, "blocks")).select("doc_id", "page_num", total.alias("total"), F.size("columns").alias("columns"))
+    return tables.columns_by_x(table(spark, d, "blocks")).select("doc_id", "page_num", total.alias("total"), F.size("columns").alias("columns"))
 
 
 @query("""SELECT block_id, (row_number() OVER (PARTITION BY doc_id, page_num ORDER BY CASE type WHEN 'figure' THEN 2 WHEN 'table' THEN 1 ELSE 0 END, block_pos, block_id) - 1)::INT AS block_pos FROM blocks""")
 def concatenated(spark: SparkSession, d: str) -> DataFrame:
     """U01."""
-    b = load(spark, d, "blocks").select("doc_id", "page_num", "block_id", "block_pos", "type")
+    b = table(spark, d, "blocks").select("doc_id", "page_num", "block_id", "block_pos", "type")
     return layout.concatenate(b.where("type NOT IN ('table', 'figure')"), b.where("type = 'table'"), b.where("type = 'figure'")).select("block_id", "block_pos")
 
 
@@ -593,7 +598,7 @@ SELECT block_id, len(table_data)::INT AS rows, len(c)::INT AS filled, len(list_d
     + regexp_matches(x, '{P.REF_STYLE}')::INT + regexp_matches(x, '{P.REF_NUMBER}')::INT), 'sum') / len(c) > 0.3, FALSE) AS reference FROM t""")
 def reference_tables(spark: SparkSession, d: str) -> DataFrame:
     """Tables, their filled cells and widths, and whether they list references."""
-    b = load(spark, d, "blocks").where("table_data IS NOT NULL")
+    b = table(spark, d, "blocks").where("table_data IS NOT NULL")
     filled = F.filter(F.transform(F.flatten("table_data"), lambda c: T.strip(F.coalesce(c, F.lit("")))), lambda c: c != "")
     return b.select(
         "block_id", F.size("table_data").alias("rows"), F.size(filled).alias("filled"),
@@ -613,7 +618,7 @@ e AS (SELECT doc_id, page_num, block_pos AS p0, lb AS fb FROM k), bad AS (SELECT
 SELECT block_id, to_json(CASE WHEN wrong THEN list_transform(rows, lambda r: list_transform(r, lambda c: {_TURNED})) ELSE rows END)::VARCHAR AS cells FROM w WHERE block_id NOT IN (SELECT block_id FROM bad)""")
 def mended_tables(spark: SparkSession, d: str) -> DataFrame:
     """Tables stripped and, where cells are reversed, mended."""
-    raw = load(spark, d, "blocks").where("table_data IS NOT NULL").select("doc_id", "page_num", F.col("block_pos").alias("table_pos"), "block_id", "bbox", F.col("table_data").alias("rows"))
+    raw = table(spark, d, "blocks").where("table_data IS NOT NULL").select("doc_id", "page_num", F.col("block_pos").alias("table_pos"), "block_id", "bbox", F.col("table_data").alias("rows"))
     return tables.clean_tables(raw).select("block_id", F.to_json("rows").alias("cells"))
 
 
@@ -622,7 +627,7 @@ bad AS (SELECT block_id FROM t JOIN x USING (doc_id, page_num) WHERE {_SHARED} >
 SELECT block_id FROM t WHERE NOT coalesce(starts_with_bold, FALSE) AND block_id NOT IN (SELECT block_id FROM bad)""")
 def validated_tables(spark: SparkSession, d: str) -> DataFrame:
     """J07."""
-    b = load(spark, d, "blocks")
+    b = table(spark, d, "blocks")
     return tables.validate_tables(b.where("type = 'table'"), b.where("type NOT IN ('table', 'figure')")).select("block_id")
 
 
@@ -643,13 +648,13 @@ def heuristic_tables(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def figure_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Figures and tables of a page by nearness."""
-    return figures.clusters(load(spark, d, "blocks").where("type IN ('figure', 'table')"), 35.0).select("block_id", "cluster")
+    return figures.clusters(table(spark, d, "blocks").where("type IN ('figure', 'table')"), 35.0).select("block_id", "cluster")
 
 
 @query()
 def composite_figures(spark: SparkSession, d: str) -> DataFrame:
     """W18."""
-    f = load(spark, d, "blocks").where("type IN ('figure', 'table')")
+    f = table(spark, d, "blocks").where("type IN ('figure', 'table')")
     return figures.composite_figures(f, load(spark, d, "paper_pages")).select("cluster", "members", "bbox.*")
 
 
@@ -658,13 +663,13 @@ def composite_figures(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, page_num, block_id, anchor, title FROM h""")
 def toc(spark: SparkSession, d: str) -> DataFrame:
     """W12."""
-    return render.headings(load(spark, d, "blocks").withColumn("text", F.col("text_override")))
+    return render.headings(table(spark, d, "blocks").withColumn("text", F.col("text_override")))
 
 
 @query()
 def mask_tokens(spark: SparkSession, d: str) -> DataFrame:
     """M01."""
-    docs = load(spark, d, "documents").where("text IS NOT NULL")
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
     m = docs.select("doc_id", masking.mask("text").alias("m"))
     return m.select("doc_id", "m.masked", F.size("m.tokens").alias("tokens"))
 
@@ -672,7 +677,7 @@ def mask_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL["strip_tags"].replace("AS plain", "AS text"))
 def mask_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Restoring what was masked gives the text without inline tags."""
-    docs = load(spark, d, "documents").where("text IS NOT NULL")
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
     m = docs.select("doc_id", masking.mask("text").alias("m"))
     return m.select("doc_id", masking.restore(F.col("m.masked"), F.col("m.tokens")).alias("text"))
 
@@ -731,7 +736,7 @@ WHERE b.type = 'paragraph' AND b.text_override IS NOT NULL AND p.target_lang IS
 def tm_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs that the memory knows."""
     p = load(spark, d, "papers").where("target_lang IS NOT NULL").select("doc_id", "target_lang")
-    b = load(spark, d, "blocks").where("type = 'paragraph' AND text_override IS NOT NULL").join(p, "doc_id")
+    b = table(spark, d, "blocks").where("type = 'paragraph' AND text_override IS NOT NULL").join(p, "doc_id")
     m = translate.latest_memory(load(spark, d, "tm")).select(F.col("text").alias("text_override"), F.col("lang").alias("target_lang"), "translation")
     found = b.drop("translation").join(m, ["text_override", "target_lang"], "left")
     return found.select("block_id", F.col("translation").isNotNull().alias("known"))
@@ -744,7 +749,7 @@ def glossary_terms(spark: SparkSession, d: str) -> DataFrame:
     """Glossary words of each block by language."""
     g = load(spark, d, "glossary").where("term IS NOT NULL AND translation IS NOT NULL AND trim(term) <> ''")
     g = g.select(F.lower(F.trim("term")).alias("w"), "lang").distinct()
-    b = load(spark, d, "blocks").where("text_override IS NOT NULL")
+    b = table(spark, d, "blocks").where("text_override IS NOT NULL")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text_override"), F.lit("([a-z]+)"), F.lit(1)))
     return b.select("block_id", F.explode(words).alias("w")).join(g, "w").groupBy("block_id", "lang").agg(F.count(F.lit(1)).alias("terms"))
 

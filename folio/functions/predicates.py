@@ -136,19 +136,19 @@ def looks_like_table_data(c: Column) -> Column:
     lines = filled_lines(c)
     counts = F.array_distinct(F.transform(lines, lambda x: F.size(F.split(x, COLUMN_GAP))))
     same = (F.size(counts) == 1) & (F.element_at(counts, 1) >= 2)
-    return F.coalesce(
+    fits = (
         (F.size(lines) >= 2) & ~F.exists(_last_off(lines), lambda x: x.rlike(r"[.!?]\s*$"))
-        & (F.when(F.size(lines) >= 1, same).otherwise(False) | F.forall(lines, lambda x: F.length(x) < 60)), F.lit(False)
+        & (F.when(F.size(lines) >= 1, same).otherwise(False) | F.forall(lines, lambda x: F.length(x) < 60))
     )
+    return F.coalesce(F.when(F.contains(c, F.lit("\n")), fits), F.lit(False))
 
 
 def is_likely_table(c: Column) -> Column:
     """lines of several columns agree on their number and none but the last ends a sentence."""
     lines = filled_lines(c)
     counts = F.array_distinct(F.filter(F.transform(lines, lambda x: F.size(F.split(strip(x), COLUMN_GAP))), lambda n: n >= 2))
-    return F.coalesce(
-        (F.size(lines) >= 2) & (F.size(counts) == 1) & ~F.exists(_last_off(lines), lambda x: x.rlike(r"[.!?;]\s*$")), F.lit(False)
-    )
+    fits = (F.size(lines) >= 2) & (F.size(counts) == 1) & ~F.exists(_last_off(lines), lambda x: x.rlike(r"[.!?;]\s*$"))
+    return F.coalesce(F.when(F.contains(c, F.lit("\n")), fits), F.lit(False))
 
 
 def is_short_citation(c: Column) -> Column:

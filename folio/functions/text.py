@@ -61,7 +61,8 @@ def clean_span_text(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Words broken over lines joined, blanks collapsed, single line ends to blanks, blank lines kept."""
-    c = F.regexp_replace(c, r"(?U)(\w+)-\s*\n\s*(\w+)", "$1$2")
+    # Only the last letter of the left half is matched: a whole word would be tried again from each of its letters.
+    c = F.regexp_replace(c, r"(?U)(\w)-\s*\n\s*(\w+)", "$1$2")
     c = F.regexp_replace(c, r"(?U)(?<=\w)-\s+(?=[a-zа-яё])", "-")
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, r"\r\n?", "\n")

@@ -32,7 +32,7 @@ def heuristic_table(c: Column) -> Column:
     most = F.array_max(counts)
     padded = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), most - F.size(r))))
     fits = (n >= 2) & ~((average > 90) & (ends == 0)) & (ends <= n * 0.4) & (F.array_min(counts) >= 2) & (F.size(counts) <= 2)
-    return F.when(fits, padded)
+    return F.when(F.contains(c, F.lit("\n")), F.when(fits, padded))  # one line is never taken apart
 
 
 def fix_reversed_cell(c: Column) -> Column:

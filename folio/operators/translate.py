@@ -112,14 +112,17 @@ def contained_blocks(blocks: DataFrame) -> DataFrame:
     t = blocks.where(F.length(F.trim("text")) > 20).select("doc_id", "block_id", normalize_text(F.col("text")).alias("t")).where("length(t) >= 2")
     keys = share(t.select("doc_id", "t", F.xxhash64("t").alias("id")).dropDuplicates(["doc_id", "id"]))
     words = F.array_distinct(F.split("t", " "))
-    k = keys.withColumns({"words": words, "inner": F.expr("slice(split(t, ' '), 2, greatest(size(split(t, ' ')) - 2, 0))")})
+    inner = F.expr("slice(split(t, ' '), 2, greatest(size(split(t, ' ')) - 2, 0))")
+    k = keys.select("doc_id", "id", F.length("t").alias("n"), words.alias("words"), inner.alias("inner"))
     sign = lambda c, seed: F.expr(f"aggregate({c}, 0L, (a, w) -> a | shiftleft(1L, CAST(pmod(xxhash64({seed}, w), 64) AS INT)))")
     longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    # Signatures are made before the words are taken apart, once a text.
+    k = share(k.select("doc_id", "id", "n", "words", F.xxhash64(longest).alias("word"), F.size("inner").alias("inner"), *[sign(c, i).alias(f"{c[0]}{i}") for c in ("inner", "words") for i in (1, 2)]))
+    short = k.where("inner > 0").select("doc_id", "id", "n", "word", "i1", "i2")
     n = F.length("t").alias("n")
-    short = k.where("size(inner) > 0").select("doc_id", "id", n, F.xxhash64(longest).alias("word"), sign("inner", 1).alias("s1"), sign("inner", 2).alias("s2"))
-    long = k.select("doc_id", F.col("id").alias("long"), F.length("t").alias("m"), sign("words", 1).alias("l1"), sign("words", 2).alias("l2"), F.explode("words").alias("w"))
+    long = k.select("doc_id", F.col("id").alias("long"), F.col("n").alias("m"), "w1", "w2", F.explode("words").alias("w"))
     long = long.withColumn("word", F.xxhash64("w")).drop("w")
-    fits = (F.col("n") < F.col("m")) & (F.expr("s1 & ~l1") == 0) & (F.expr("s2 & ~l2") == 0)
+    fits = (F.col("n") < F.col("m")) & (F.expr("i1 & ~w1") == 0) & (F.expr("i2 & ~w2") == 0)
     met = short.join(long, ["doc_id", "word"]).where(fits).select("doc_id", "id", "long")
     few = keys.where(~F.col("t").contains(" ") | (F.size(F.split("t", " ")) <= 2)).select("doc_id", "id", F.xxhash64(F.substring("t", 2, GRAM)).alias("gram"), n)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - (GRAM - 1))), lambda i: F.xxhash64(F.substring(F.col("t"), i, F.lit(GRAM))))
