@@ -117,7 +117,7 @@ def contained_blocks(blocks: DataFrame) -> DataFrame:
     sign = lambda c, seed: F.expr(f"aggregate({c}, 0L, (a, w) -> a | shiftleft(1L, CAST(pmod(xxhash64({seed}, w), 64) AS INT)))")
     longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     # Signatures are made before the words are taken apart, once a text.
-    k = share(k.select("doc_id", "id", "n", "words", F.xxhash64(longest).alias("word"), F.size("inner").alias("inner"), *[sign(c, i).alias(f"{c[0]}{i}") for c in ("inner", "words") for i in (1, 2)]))
+    k = k.select("doc_id", "id", "n", "words", F.xxhash64(longest).alias("word"), F.size("inner").alias("inner"), *[sign(c, i).alias(f"{c[0]}{i}") for c in ("inner", "words") for i in (1, 2)])
     short = k.where("inner > 0").select("doc_id", "id", "n", "word", "i1", "i2")
     n = F.length("t").alias("n")
     long = k.select("doc_id", F.col("id").alias("long"), F.col("n").alias("m"), "w1", "w2", F.explode("words").alias("w"))
