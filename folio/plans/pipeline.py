@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators import classify, refs, render, running, tables, translate
-from folio.sources.lineage import share
+from folio.sources.lineage import cut, share
 from folio.sources.tables import reading_text
 
 
@@ -26,11 +26,11 @@ def post_process(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame
 
 def raw_report(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Pages as raw HTML."""
-    return render.page_html(post_process(blocks, pages), translated=False)
+    return render.page_html(cut(post_process(blocks, pages)), translated=False)
 
 
 def translated_report(blocks: DataFrame, tm: DataFrame, pages: DataFrame | None = None, backend: str = "identity") -> DataFrame:
     """Pages as translated HTML; ``blocks`` has target_lang as well."""
-    b = post_process(blocks, pages)
+    b = cut(post_process(blocks, pages))  # every step of the translation reads it: its lineage would be planned for each
     done = translate.translate_blocks(b.drop("translation"), tm, backend).select("block_id", "translation")
-    return render.page_html(b.drop("translation").join(done, "block_id", "left"))
+    return render.page_html(cut(b.drop("translation").join(done, "block_id", "left")))
