@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from folio.functions import predicates as P
 from folio.functions.text import normalize_text, split_by_paragraphs, split_sentences
 from folio.operators import masking
+from folio.operators.contain import within
 from folio.operators.validate import flags, rejects
 from folio.sources.lineage import share
 
@@ -96,41 +97,13 @@ def work_list(blocks: DataFrame) -> DataFrame:
     return blocks.where(P.is_translatable(F.col("type"), F.col("text"))).withColumn("normalized", normalize_text(F.col("text")))
 
 
-#: Characters of the piece of a text of one or two words that any longer text must hold.
-GRAM = 12
-
-
 def contained_blocks(blocks: DataFrame) -> DataFrame:
     """``block_id`` of blocks whose normalized text lies within a longer one of the same document.
 
-    Texts of more than 20 characters; equal texts don't contain each other. A shorter text's longest inner word is a
-    whole word of any text that contains it, and all its inner words are among that text's, which two 64-bit signatures
-    rule out for nearly all others. So candidates are hashes that meet on (document, word), and texts are fetched for
-    those that are left. A text of one or two words has no inner word: a piece of GRAM characters stands for it, and
-    only texts of documents that have such a text are cut into pieces.
+    Texts of more than 20 characters; equal texts don't contain each other.
     """
-    t = blocks.where(F.length(F.trim("text")) > 20).select("doc_id", "block_id", normalize_text(F.col("text")).alias("t")).where("length(t) >= 2")
-    keys = share(t.select("doc_id", "t", F.xxhash64("t").alias("id")).dropDuplicates(["doc_id", "id"]))
-    words = F.array_distinct(F.split("t", " "))
-    inner = F.expr("slice(split(t, ' '), 2, greatest(size(split(t, ' ')) - 2, 0))")
-    k = keys.select("doc_id", "id", F.length("t").alias("n"), words.alias("words"), inner.alias("inner"))
-    sign = lambda c, seed: F.expr(f"aggregate({c}, 0L, (a, w) -> a | shiftleft(1L, CAST(pmod(xxhash64({seed}, w), 64) AS INT)))")
-    longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    # Signatures are made before the words are taken apart, once a text.
-    k = k.select("doc_id", "id", "n", "words", F.xxhash64(longest).alias("word"), F.size("inner").alias("inner"), *[sign(c, i).alias(f"{c[0]}{i}") for c in ("inner", "words") for i in (1, 2)])
-    short = k.where("inner > 0").select("doc_id", "id", "n", "word", "i1", "i2")
-    n = F.length("t").alias("n")
-    long = k.select("doc_id", F.col("id").alias("long"), F.col("n").alias("m"), "w1", "w2", F.explode("words").alias("w"))
-    long = long.withColumn("word", F.xxhash64("w")).drop("w")
-    fits = (F.col("n") < F.col("m")) & (F.expr("i1 & ~w1") == 0) & (F.expr("i2 & ~w2") == 0)
-    met = short.join(long, ["doc_id", "word"]).where(fits).select("doc_id", "id", "long")
-    few = keys.where(~F.col("t").contains(" ") | (F.size(F.split("t", " ")) <= 2)).select("doc_id", "id", F.xxhash64(F.substring("t", 2, GRAM)).alias("gram"), n)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - (GRAM - 1))), lambda i: F.xxhash64(F.substring(F.col("t"), i, F.lit(GRAM))))
-    pieces = keys.join(few.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("id").alias("long"), F.length("t").alias("m"), F.explode(F.array_distinct(grams)).alias("gram"))
-    met = met.unionByName(few.join(pieces, ["doc_id", "gram"]).where("n < m").select("doc_id", "id", "long"))
-    texts = keys.select("doc_id", F.col("id").alias("long"), F.col("t").alias("u"))
-    hit = met.join(texts, ["doc_id", "long"]).join(keys, ["doc_id", "id"]).where(F.contains("u", F.col("t"))).select("doc_id", "t").distinct()
-    return t.join(hit, ["doc_id", "t"], "left_semi").select("block_id")
+    t = F.col("normalized") if "normalized" in blocks.columns else normalize_text(F.col("text"))
+    return within(blocks.where(F.length(F.trim("text")) > 20), "doc_id", "block_id", t)
 
 
 def latest_memory(tm: DataFrame) -> DataFrame:
