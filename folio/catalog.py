@@ -12,7 +12,7 @@ from folio.functions import predicates as P
 from folio.functions import text as T
 from folio.operators import classify as C
 from folio.operators import figures, layout, masking, refs, render, running, summary, tables, translate, validate
-from folio.sources import load, reading_text, spread
+from folio.sources import attach, load, reading_text, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -798,7 +798,7 @@ def section_context(spark: SparkSession, d: str) -> DataFrame:
 def translated(spark: SparkSession, d: str) -> DataFrame:
     """X01-X09 with the test back end: outcome and translation of every block of papers that are translated."""
     p = load(spark, d, "papers").where("target_lang IS NOT NULL").select("doc_id", "target_lang")
-    return translate.translate_blocks(blocks(spark, d).join(p, "doc_id"), load(spark, d, "tm"))
+    return translate.translate_blocks(attach(blocks(spark, d), p, "doc_id", "block_id"), load(spark, d, "tm"))
 
 
 @query()

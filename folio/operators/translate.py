@@ -16,6 +16,7 @@ from folio.operators import masking
 from folio.operators.contain import within
 from folio.operators.validate import flags, rejects
 from folio.sources.lineage import share
+from folio.sources.tables import BROADCAST_BYTES, known_size
 
 LANGUAGE_NAMES = {
     "ru": "Russian", "en": "English", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "zh": "Chinese", "ja": "Japanese",
@@ -158,10 +159,14 @@ def with_context(work: DataFrame, sectioned: DataFrame, chars: int = CONTEXT_CHA
 
 
 def chunks(work: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
-    """One row for each chunk of a normalized text: by paragraphs where there are any, else by sentences."""
+    """One row for each chunk of a normalized text: by paragraphs where there are any, else by sentences.
+
+    ``last_no`` is the number of the text's last chunk.
+    """
     paras = split_by_paragraphs(F.col("normalized"), limit)
     pieces = F.when(F.size(paras) > 0, paras).otherwise(split_sentences(F.col("normalized"), limit))
-    return work.select("*", F.posexplode(pieces).alias("chunk_no", "chunk"))
+    cut = work.withColumn("_pieces", pieces).withColumn("last_no", F.size("_pieces") - 1)
+    return cut.select("*", F.posexplode("_pieces").alias("chunk_no", "chunk")).drop("_pieces")
 
 
 def translate_chunks(rows: DataFrame, name: str, fallback: bool = False, attempts: int = 2) -> DataFrame:
@@ -199,23 +204,28 @@ def translate_chunks(rows: DataFrame, name: str, fallback: bool = False, attempt
     return rows.mapInPandas(run, schema)
 
 
-def _answers(rows: DataFrame, name: str) -> DataFrame:
+def _answers(rows: DataFrame, name: str, keep: int | None = None) -> DataFrame:
     """Adds ``answer`` and ``ok``: of the primary back end, and of the fallback, without context, where that is rejected.
 
     Protected tokens are masked on the way and put back before the checks. Results are persisted: no text is asked twice.
+    What is persisted holds a good answer or what may still be asked, never both: the chunk and its context are kept where
+    all answers were rejected and it has more than ``keep`` characters, if that is given.
     """
 
-    def ask(rows: DataFrame, fallback: bool) -> DataFrame:
+    def ask(rows: DataFrame, fallback: bool, keep: int | None) -> DataFrame:
         done = translate_chunks(rows.withColumn("masked", masking.mask("chunk")["masked"]), name, fallback).drop("masked")
         back = masking.restore(F.col("answer"), masking.mask("chunk")["tokens"])
         done = done.withColumn("answer", F.when(P.is_short_citation(F.col("chunk")), F.col("chunk")).when(F.col("answer").isNotNull(), back))
         ok = F.col("answer").isNotNull() & (P.is_short_citation(F.col("chunk")) | ~rejects(flags(F.col("chunk"), F.col("answer"), F.col("target_lang"))))
-        return share(done.withColumn("ok", F.coalesce(ok, F.lit(False))))
+        done = done.withColumn("ok", F.coalesce(ok, F.lit(False)))
+        again = F.lit(False) if keep is None else ~F.col("ok") & (F.length("chunk") > keep)
+        kept = {c: F.when(again, F.col(c)) for c in ("chunk", "context_before", "context_after")}
+        return share(done.withColumns(kept | {"answer": F.when(F.col("ok"), F.col("answer"))}))
 
-    first = ask(rows, False)
     if backend(name)[1] is None:
-        return first
-    return first.where("ok").unionByName(ask(first.where("NOT ok").select(*rows.columns), True))
+        return ask(rows, False, keep)
+    first = ask(rows, False, -1)
+    return first.where("ok").unionByName(ask(first.where("NOT ok").select(*rows.columns), True, keep))
 
 
 def _rescued(failed: DataFrame, name: str, chars: int) -> DataFrame:
@@ -243,27 +253,33 @@ def translate_blocks(blocks: DataFrame, tm: DataFrame, name: str = "identity", r
     succeeds if all its chunks are answered and pass the checks.
     """
     work = work_list(blocks)
-    inside = contained_blocks(work).withColumn("_inside", F.lit(True))
-    w = lookup(work.join(inside, "block_id", "left"), tm, "normalized")
-    cheap = F.when(F.col("_inside"), "contained").when(P.is_short_citation(F.col("text")), "citation").when(F.col("cached").isNotNull(), "cached")
-    w = w.withColumn("outcome", cheap).select("doc_id", "block_id", "page_num", "block_pos", "text", "target_lang", "normalized", "cached", "outcome")
-    w = share(w)
-    packed = w.where("outcome IS NULL OR outcome = 'cached'")
+    inside = share(contained_blocks(work).withColumn("_inside", F.lit(True)))
+    inside.count()
+    w = work.join(F.broadcast(inside) if known_size(inside) <= BROADCAST_BYTES else inside, "block_id", "left")
+    # One text a row: the block's own where that is the outcome, else the normalized one.
+    w = w.withColumn("outcome", F.when(F.col("_inside"), "contained").when(P.is_short_citation(F.col("text")), "citation"))
+    one = F.when(F.col("outcome").isNotNull(), F.col("text")).otherwise(F.col("normalized"))
+    w = lookup(w.select("doc_id", "block_id", "page_num", "block_pos", "target_lang", "outcome", one.alias("normalized")), tm, "normalized")
+    w = w.withColumn("outcome", F.coalesce("outcome", F.when(F.col("cached").isNotNull(), "cached")))
+    w = share(w.withColumn("cached", F.when(F.col("outcome") == "cached", F.col("cached"))))
+    packed = w.where("outcome IS NULL OR outcome = 'cached'").drop("cached")
     asked = with_context(packed, sections(packed)).where("outcome IS NULL")
     todo = chunks(asked.select("block_id", "target_lang", "normalized", "context_before", "context_after"))
-    todo = todo.withColumn("last_no", F.max("chunk_no").over(Window.partitionBy("block_id")))
     todo = todo.withColumns({
         "context_before": F.when(F.col("last_no") == 0, F.col("context_before")).when(F.col("chunk_no") == 0, F.right("context_before", F.lit(CHUNK_CONTEXT))).otherwise(""),
         "context_after": F.when(F.col("last_no") == 0, F.col("context_after")).when(F.col("chunk_no") == F.col("last_no"), F.left("context_after", F.lit(CHUNK_CONTEXT))).otherwise(""),
     })
-    done = _answers(todo.select("block_id", "target_lang", "chunk_no", "last_no", "chunk", "context_before", "context_after"), name)
+    done = _answers(todo.select("block_id", "target_lang", "chunk_no", "last_no", "chunk", "context_before", "context_after"), name, rescue_chars)
     pieces = _rescued(done.where("NOT ok"), name, rescue_chars)
-    done = done.join(pieces, ["block_id", "chunk_no"], "left")
-    done = done.withColumn("ok", F.col("ok") | F.col("rescued").isNotNull()).withColumn("answer", F.coalesce("rescued", "answer"))
-    whole = done.groupBy("block_id").agg(
+    # A text of one chunk that is answered is complete; only the others are put together.
+    single = (F.col("last_no") == 0) & F.col("ok")
+    parts = done.where(~single).select("block_id", "chunk_no", "ok", "answer").join(pieces, ["block_id", "chunk_no"], "left")
+    parts = parts.withColumn("ok", F.col("ok") | F.col("rescued").isNotNull()).withColumn("answer", F.coalesce("rescued", "answer"))
+    whole = parts.groupBy("block_id").agg(
         F.bool_and("ok").alias("ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "answer"))), lambda x: x["answer"]), "\n\n").alias("answer")
     )
-    first = w.where("outcome IS NOT NULL").select("block_id", F.when(F.col("outcome") == "cached", F.col("cached")).otherwise(F.col("text")).alias("translation"), "outcome")
+    first = w.where("outcome IS NOT NULL").select("block_id", F.when(F.col("outcome") == "cached", F.col("cached")).otherwise(F.col("normalized")).alias("translation"), "outcome")
+    whole = done.where(single).select("block_id", "ok", "answer").unionByName(whole)
     second = whole.select("block_id", F.when(F.col("ok"), F.col("answer")).alias("translation"), F.when(F.col("ok"), "success").otherwise("failed").alias("outcome"))
     rest = blocks.where(~P.is_translatable(F.col("type"), F.col("text"))).select("block_id", F.lit(None).cast("string").alias("translation"), F.lit("skipped").alias("outcome"))
     return first.unionByName(second).unionByName(rest)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.operators import contain, translate
 from test_operators import pages
@@ -32,3 +33,18 @@ def test_contained_in_any_place(spark, monkeypatch, cells):
 def test_texts_are_not_taken_apart(spark):
     plan = translate.contained_blocks(translate.work_list(pages(spark, _rows(6))))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" not in plan, "a row for each word of each text is several times the input"
+
+
+def test_persisted_texts_of_a_translation(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(translate, "share", lambda df: kept.append(df.persist()) or df)
+    tm = spark.sql("SELECT 1L AS entry_id, 'x' AS text, 'en' AS lang, 'y' AS translation, timestamp'2020-01-01' AS stored_at")
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(6, 60))) for _ in range(200)]
+    b = pages(spark, [(1, 1, i, i, "paragraph", t) for i, t in enumerate(texts)]).withColumn("target_lang", F.lit("en"))
+    out = translate.translate_blocks(b, tm).collect()
+    assert len(out) == 200 and {"success", "failed"} <= {r.outcome for r in out}
+    held = [r for df in kept for r in df.collect()]
+    size = sum(len(v) for r in held for v in r.asDict().values() if isinstance(v, str))
+    assert size < 2.5 * sum(map(len, texts)), "texts are persisted several times"
+    assert all(r.chunk is None and r.context_before is None for r in held if "ok" in r and r.ok)
