@@ -48,7 +48,14 @@ def mask(text: Column | str) -> Column:
 
     NULL stays NULL. The three marks, if a text has them, are deleted.
     """
-    c = F.col(text) if isinstance(text, str) else text
+    return numbered(marked(F.col(text) if isinstance(text, str) else text))
+
+
+def marked(c: Column) -> Column:
+    """A text with the marks around its protected values, from which :func:`numbered` makes the masked text and the tokens.
+
+    All passes of regular expressions are made here; who needs both at different times keeps this.
+    """
     s = strip_tags(F.translate(c, OPEN + CLOSE + KIND, ""))
     for kind, pattern, short in KINDS:
         s = F.regexp_replace(s, rf"({OPEN}[^{CLOSE}]*{CLOSE})|({pattern})", f"$1{OPEN}{kind}{KIND}$2{CLOSE}")
@@ -56,7 +63,11 @@ def mask(text: Column | str) -> Column:
         if short:
             s = F.regexp_replace(s, rf"{OPEN}{kind}{KIND}(\s*[^\s{CLOSE}]?[^{CLOSE}]{{0,{short - 1}}})(?=\s*{CLOSE})(\s*){CLOSE}", "$1$2")
     # A plain word of up to 20 letters is no identifier.
-    s = F.regexp_replace(s, rf"{OPEN}P{KIND}([A-Za-z]{{1,20}}){CLOSE}", "$1")
+    return F.regexp_replace(s, rf"{OPEN}P{KIND}([A-Za-z]{{1,20}}){CLOSE}", "$1")
+
+
+def numbered(s: Column) -> Column:
+    """struct(masked, tokens) of a marked text."""
     # Bound as an element of an array, so that the passes are made once.
     return F.element_at(F.transform(F.array(s), _numbered), 1)
 

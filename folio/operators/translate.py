@@ -213,11 +213,12 @@ def _answers(rows: DataFrame, name: str, keep: int | None = None) -> DataFrame:
     """
 
     def ask(rows: DataFrame, fallback: bool, keep: int | None) -> DataFrame:
-        done = translate_chunks(rows.withColumn("masked", masking.mask("chunk")["masked"]), name, fallback).drop("masked")
-        back = masking.restore(F.col("answer"), masking.mask("chunk")["tokens"])
+        rows = rows.withColumn("_marked", masking.marked(F.col("chunk")))
+        done = translate_chunks(rows.withColumn("masked", masking.numbered(F.col("_marked"))["masked"]), name, fallback).drop("masked")
+        back = masking.restore(F.col("answer"), masking.numbered(F.col("_marked"))["tokens"])
         done = done.withColumn("answer", F.when(P.is_short_citation(F.col("chunk")), F.col("chunk")).when(F.col("answer").isNotNull(), back))
         ok = F.col("answer").isNotNull() & (P.is_short_citation(F.col("chunk")) | ~rejects(flags(F.col("chunk"), F.col("answer"), F.col("target_lang"))))
-        done = done.withColumn("ok", F.coalesce(ok, F.lit(False)))
+        done = done.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_marked")
         again = F.lit(False) if keep is None else ~F.col("ok") & (F.length("chunk") > keep)
         kept = {c: F.when(again, F.col(c)) for c in ("chunk", "context_before", "context_after")}
         return share(done.withColumns(kept | {"answer": F.when(F.col("ok"), F.col("answer"))}))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import contain, translate
+from folio.operators import contain, masking, translate
 from test_operators import pages
 
 
@@ -48,3 +48,14 @@ def test_persisted_texts_of_a_translation(spark, monkeypatch):
     size = sum(len(v) for r in held for v in r.asDict().values() if isinstance(v, str))
     assert size < 2.5 * sum(map(len, texts)), "texts are persisted several times"
     assert all(r.chunk is None and r.context_before is None for r in held if "ok" in r and r.ok)
+
+
+def test_run_stats_marks_a_chunk_once(spark, monkeypatch):
+    passes, kept = [], []
+    strip_tags = masking.strip_tags
+    monkeypatch.setattr(masking, "strip_tags", lambda c: passes.append(c) or strip_tags(c))
+    monkeypatch.setattr(translate, "share", lambda df: kept.append(df) or df)
+    tm = spark.sql("SELECT 1L AS entry_id, 'x' AS text, 'en' AS lang, 'y' AS translation, timestamp'2020-01-01' AS stored_at")
+    translate.run_stats(translate.translate_blocks(pages(spark, _rows(7)[:40]).withColumn("target_lang", F.lit("en")), tm))
+    assert len(passes) == 2, "the passes over chunks, and over pieces of those that failed, are made once each"
+    assert not any("Generate explode(words" in df._jdf.queryExecution().optimizedPlan().toString() for df in kept)
