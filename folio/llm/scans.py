@@ -67,13 +67,11 @@ def scan_lines(blocks: DataFrame) -> DataFrame:
 
 def furniture(lines: DataFrame, edge_lines: int = EDGE) -> DataFrame:
     """``block_id, line_no, kind`` (runhead or pagenum) of the lines that aren't running text."""
-    edge = lines.where(f"top <= {edge_lines} OR bottom <= {edge_lines}")
-    low = look(F.lower(F.col("line")))
-    digits = F.translate(low, "olі", "011")
+    edge = lines.where(f"top <= {edge_lines} OR bottom <= {edge_lines}").withColumn("low", look(F.lower(F.col("line"))))
+    low, digits = F.col("low"), F.translate("low", "olі", "011")
     number_only = r"^[^\p{L}\d]*(?:(?:page|p|seite|s|стр|c|с|pag|pág)\b[. ]*)?([\doli]{1,5})(?:\s*(?:/|of|von|из|de|sur)\s*\d+)?[^\p{L}\d]*$"
     edge = edge.select(
-        "doc_id", "lang", "page_num", "block_id", "line_no", "line", "top", "bottom", low.alias("low"),
-        F.regexp_extract(low, number_only, 1).alias("alone"),
+        "doc_id", "page_num", "block_id", "line_no", "line", "top", "bottom", "low", F.regexp_extract(low, number_only, 1).alias("alone"),
         F.regexp_extract(digits, r"^\W*(\d{1,5})\b", 1).alias("lead"), F.regexp_extract(digits, r"\b(\d{1,5})\W*$", 1).alias("tail"),
     )
     edge = edge.withColumn("alone", F.when(F.col("alone").rlike(r"\d"), F.translate("alone", "oli", "011")))
@@ -87,7 +85,7 @@ def furniture(lines: DataFrame, edge_lines: int = EDGE) -> DataFrame:
     # A title's shape: capitalised words and numbers masked, other words by their skeleton.
     shape = F.regexp_replace(F.regexp_replace(look(bare), r"\d?\p{Lu}[\p{L}\d]*", "X"), r"(?<!\p{L})\d+(?!\p{L})", "#")
     shape = F.trim(F.regexp_replace(skeleton(F.lower(shape), F.col("low").rlike("[а-я]{2}")), r"[^\p{L}#]+", " "))
-    edge = edge.withColumn("shape", F.when(F.col("title"), shape))
+    edge = cut(edge.withColumn("shape", F.when(F.col("title"), shape)).drop("line", "low"))  # every count below reads it
     # The page number less the page's position, where lines agree on it.
     seen = edge.select("doc_id", "page_num", F.explode(F.array_distinct(F.array_compact(F.array(*[
         F.when(F.col(c) != "", F.col(c).cast("int")) for c in ("alone", "lead", "tail")])))).alias("n"))
@@ -203,7 +201,7 @@ def misread(words: DataFrame) -> DataFrame:
     rare or often misread, :func:`supported_twins` asks for more of the context.
     """
     counts = words.groupBy("lang", "form").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("skeleton", skeleton(F.col("form"), F.expr(_CYRILLIC)))
+    counts = cut(counts.withColumn("skeleton", skeleton(F.col("form"), F.expr(_CYRILLIC))))
     group = Window.partitionBy("lang", "skeleton")
     clean = ~F.col("form").rlike(rf"[{MISREAD_DIGITS}]")
     best = F.max(F.when(clean, F.struct("n", "form"))).over(group)
@@ -228,16 +226,16 @@ def broken_words(text: DataFrame, words: DataFrame) -> DataFrame:
     """Lines that end with a hyphen inside or between words: ``lang, block_id, line_no, after_block, after_no``, the word
     parts at both sides (``a, b``) with the words beside them (``before, next``), and ``broken``: it is one word, written
     without hyphen."""
-    bare = F.regexp_replace("line", HYPHENS + "$", "")
-    end, start = look(F.lower(bare)), look(F.lower(F.col("after")))
+    bare, end, start = F.regexp_replace("line", HYPHENS + "$", ""), F.col("end"), F.col("start")
     beside_end, beside_start = _words_of(end), _words_of(start)
-    ends = text.where(F.col("line").rlike(rf"[\p{{L}}\d]{HYPHENS}$") & F.col("after").isNotNull()).select(
+    ends = text.where(F.col("line").rlike(rf"[\p{{L}}\d]{HYPHENS}$") & F.col("after").isNotNull())
+    ends = cut(ends.withColumns({"end": look(F.lower(bare)), "start": look(F.lower(F.col("after")))}).select(
         "lang", "block_id", "line_no", "after_block", "after_no",
         F.regexp_extract(end, r"([\p{L}\d]+)$", 1).alias("a"), F.regexp_extract(start, r"^[^\p{L}\d]*([\p{L}\d]+)", 1).alias("b"),
         F.try_element_at(beside_end, F.lit(-2)).alias("before"), F.try_element_at(beside_start, F.lit(2)).alias("next"),
         F.regexp_extract(end, r"(\p{L}+)$", 1).alias("left"), F.regexp_extract(start, r"^[^\p{L}\d]*(\p{L}+)", 1).alias("right"),
         (F.col("after").rlike(r"^\P{L}*\p{Lu}") | bare.rlike(r"(?<!\p{L})\p{Lu}{2,}$") | F.col("after").rlike(r"^\d")).alias("capital"),
-    )
+    ))
     # Every count that is asked for is one row of one table: words, pairs of compounds, their first and second parts.
     two = F.split("w", "[-‐‑]")
     pairs = F.transform(F.sequence(F.lit(0), F.size(two) - 2), lambda i: F.struct(F.regexp_extract(F.get(two, i), r"(\p{L}+)$", 1).alias("a"), F.regexp_extract(F.get(two, i + 1), r"^(\p{L}+)", 1).alias("b")))
@@ -297,7 +295,7 @@ def _read(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     none = F.lit(None)
     inner = inner.withColumns({"half": none.cast("int"), "after_block": none.cast("bigint"), "after_no": none.cast("int")})
     words = inner.unionByName(end_words(ends))
-    wrong = words.join(misread(words), ["lang", "form"])
+    wrong = words.join(cut(misread(words)), ["lang", "form"])
     return noise, text, ends, words, wrong
 
 

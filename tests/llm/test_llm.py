@@ -253,6 +253,16 @@ def test_rare_and_systematic_misreadings(spark):
     assert text[502] == "kamo spiethgamar povu" and text[400] == "zuku pressure vavo" and text[600] == "sazo hearing yusa"
 
 
+def test_scans_plan_little_at_once(spark, monkeypatch):
+    # The driver holds every plan of a job several times over (as planned again after each stage, as told to listeners).
+    sizes, cut = [], scans.cut
+    plan = lambda df: len(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(scans, "cut", lambda df: sizes.append(plan(df)) or cut(df))
+    df = scanned(spark, [(i, i, "en", 1, 0, ["Annals of Glacier Studies", "then the house stood near the ri-", "ver for years"]) for i in range(3)])
+    for made in (scans.find_noise(df), scans.repair(df)):
+        assert made.count() and max(*sizes, plan(made)) < 250_000
+
+
 # --- 8
 
 
