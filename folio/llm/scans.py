@@ -346,7 +346,7 @@ def repair(blocks: DataFrame) -> DataFrame:
     no sentence goes on in the next block that begins with a small letter or the rest of a word.
     """
     _, text, ends, _, wrong = _read(blocks)
-    fixes = wrong.where("right IS NOT NULL AND form <> right").groupBy("block_id", "line_no").agg(F.collect_set(F.struct("form", "right")).alias("fixes"))
+    fixes = cut(wrong.where("right IS NOT NULL AND form <> right").groupBy("block_id", "line_no").agg(F.collect_set(F.struct("form", "right")).alias("fixes")))
     broken = ends.where("broken").select("block_id", "line_no", F.lit(True).alias("broken"))
     row = text.join(fixes, ["block_id", "line_no"], "left").join(broken, ["block_id", "line_no"], "left")
     # The first chunk of a line after a hyphen stands at the end of the line before.
@@ -360,13 +360,14 @@ def repair(blocks: DataFrame) -> DataFrame:
     def mend(p: Column) -> Column:
         form = look(F.lower(p))
         right = F.try_element_at(F.filter("fixes", lambda x: x["form"] == form), F.lit(1))["right"]
-        return F.coalesce(_written(right, p, F.col("lang")), p)
+        # Bound by a list of one: as an expression it would be written out, and evaluated, for each use.
+        return F.coalesce(F.get(F.transform(F.array(right), lambda r: _written(r, p, F.col("lang"))), F.lit(0)), p)
 
     row = row.withColumn("own", own)
     row = row.withColumn("m", F.when(F.col("fixes").isNull(), F.col("own")).otherwise(F.array_join(F.transform(pieces, mend), "")))
     whole = row.groupBy("doc_id", "page_num", "block_id", "block_pos").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "m"))).alias("ms"), F.min_by(F.col("cont") | F.col("open"), "line_no").alias("goes_on")
     )
-    whole = carry_over_pages(whole, F.when(~F.col("goes_on"), F.col("block_id")), ("block_pos", "block_id"))
+    whole = carry_over_pages(cut(whole), F.when(~F.col("goes_on"), F.col("block_id")), ("block_pos", "block_id"))
     joined = F.trim(F.array_join(F.filter(F.transform("ms", lambda x: x["m"]), lambda x: x != ""), " "))
     return whole.select("block_id", F.coalesce("_state", "block_id").alias("para_id"), joined.alias("text")).where("text <> ''")

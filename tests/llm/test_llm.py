@@ -260,7 +260,7 @@ def test_scans_plan_little_at_once(spark, monkeypatch):
     monkeypatch.setattr(scans, "cut", lambda df: sizes.append(plan(df)) or cut(df))
     df = scanned(spark, [(i, i, "en", 1, 0, ["Annals of Glacier Studies", "then the house stood near the ri-", "ver for years"]) for i in range(3)])
     for made in (scans.find_noise(df), scans.repair(df)):
-        assert made.count() and max(*sizes, plan(made)) < 250_000
+        assert made.count() and max(*sizes, plan(made)) < 150_000
 
 
 # --- 8
